@@ -1,5 +1,5 @@
 from brindle.operators.joins import band_join, grid_join
-from brindle.operators.ordered import ROWS_PER_SPLIT, OrderedGroups
+from brindle.operators.ordered import ROWS_PER_SPLIT_SETTING, OrderedGroups
 from brindle.operators.ranking import exact_quantiles, largest_per_group, rank_rows
 from brindle.operators.timeline import (
     asof_join,
@@ -9,7 +9,7 @@ from brindle.operators.timeline import (
 )
 
 __all__ = [
-    "ROWS_PER_SPLIT",
+    "ROWS_PER_SPLIT_SETTING",
     "OrderedGroups",
     "asof_join",
     "band_join",

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.ordered import ROWS_PER_SPLIT, hot_groups, matching
+from brindle.operators.ordered import hot_groups, matching, split_size
 from brindle.session import checkpoint_folder
 
 
@@ -34,7 +34,7 @@ def _cut(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
 
 
 def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str,
-              right_id: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+              right_id: str, rows_per_split: int | None = None) -> DataFrame:
     """Inner equi-join in which a key may be hot on either side or both.
 
     A key with more than ``rows_per_split`` rows on a side is cut in that many
@@ -42,6 +42,7 @@ def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: s
     part. Two hot sides make a grid, each cell of which is a task's worth.
     Other keys take the join unchanged.
     """
+    rows_per_split = rows_per_split or split_size(left.sparkSession)
     left_hot = hot_groups(left.dropna(subset=list(keys)), keys, rows_per_split)
     right_hot = hot_groups(right.dropna(subset=list(keys)), keys, rows_per_split)
     if left_hot.isEmpty() and right_hot.isEmpty():
@@ -59,7 +60,7 @@ def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: s
 
 def band_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
               interval_id: str, low: str, high: str, point_id: str, point: str,
-              width: float, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+              width: float, rows_per_split: int | None = None) -> DataFrame:
     """Pairs of an interval and a point of its key inside it, both ends included.
 
     The axis is cut in buckets of ``width``, best about an interval's length: an

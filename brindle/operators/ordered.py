@@ -18,13 +18,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from brindle.session import checkpoint_folder
 
 # About a gigabyte of 200-byte rows: a sort that one task can do, spilling a bit.
 ROWS_PER_SPLIT = 5_000_000
+ROWS_PER_SPLIT_SETTING = "spark.brindle.rowsPerSplit"
 
 _ALL = "_all_rows"
 _SPLIT = "_split"
@@ -50,6 +51,10 @@ _COMBINE: dict[str, Callable[[Column, Column], Column]] = {
 Aggregate = tuple[str, str | Column]
 
 
+def split_size(spark: SparkSession) -> int:
+    return int(spark.conf.get(ROWS_PER_SPLIT_SETTING, str(ROWS_PER_SPLIT)))
+
+
 def matching(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join a table of proven small size on keys that may be null; keeps ``df``'s keys."""
     renamed = other.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -80,8 +85,9 @@ class OrderedGroups:
 
     @classmethod
     def of(cls, df: DataFrame, keys: Sequence[str], order: Sequence[str],
-           rows_per_split: int = ROWS_PER_SPLIT) -> OrderedGroups:
+           rows_per_split: int | None = None) -> OrderedGroups:
         keys, order = list(keys), list(order)
+        rows_per_split = rows_per_split or split_size(df.sparkSession)
         if not keys:
             df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
         groups = hot_groups(df, keys, rows_per_split)

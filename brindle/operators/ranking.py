@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.ordered import ROWS_PER_SPLIT, OrderedGroups
+from brindle.operators.ordered import OrderedGroups
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], by: str, unique: str,
-              tiles: int = 4, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+              tiles: int = 4, rows_per_split: int | None = None) -> DataFrame:
     """Add row_num, rank, dense_rank, percent_rank and tile, ascending by ``by``.
 
     ``unique`` tells rows with equal ``by`` apart. Every measure follows from the
@@ -49,7 +49,7 @@ def rank_rows(df: DataFrame, keys: Sequence[str], by: str, unique: str,
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     quantiles: dict[str, float],
-                    rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+                    rows_per_split: int | None = None) -> DataFrame:
     """Exact quantiles per group, interpolated between neighbours as ``percentile`` does.
 
     Equal values are counted before the shuffle, and no group's values meet in

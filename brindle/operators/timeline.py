@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.ordered import ROWS_PER_SPLIT, OrderedGroups
+from brindle.operators.ordered import OrderedGroups
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str,
               left_id: str, right_columns: Sequence[str], right_id: str,
-              rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+              rows_per_split: int | None = None) -> DataFrame:
     """Each left row with the latest right row of its key at or before its ``on``.
 
     Both sides carry ``keys`` and ``on``. Where several right rows share an
@@ -47,7 +47,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str,
 def count_in_intervals(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
                        interval_id: str, low: str, high: str, point: str,
                        name: str = "n_points",
-                       rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+                       rows_per_split: int | None = None) -> DataFrame:
     """How many points of its key lie in each interval, both ends included.
 
     Points up to the high end less points before the low end. Returns
@@ -77,7 +77,7 @@ def count_in_intervals(intervals: DataFrame, points: DataFrame, keys: Sequence[s
 
 def trailing_sums(df: DataFrame, keys: Sequence[str], at: str, reach: Column,
                   sums: dict[str, Column],
-                  rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+                  rows_per_split: int | None = None) -> DataFrame:
     """Sums over the rows of the last ``reach`` (an interval), for every instant of a key.
 
     One row per key and instant, covering [instant - reach, instant]. A row
@@ -100,7 +100,7 @@ def trailing_sums(df: DataFrame, keys: Sequence[str], at: str, reach: Column,
 
 
 def sessions(df: DataFrame, keys: Sequence[str], at: str, unique: str, gap: Column,
-             sums: dict[str, Column], rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+             sums: dict[str, Column], rows_per_split: int | None = None) -> DataFrame:
     """Runs of a key's rows with no more than ``gap`` (an interval) between neighbours.
 
     Returns keys, session_start, session_end (the last row's instant), n_rows

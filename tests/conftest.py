@@ -1,0 +1,85 @@
+from __future__ import annotations
+
+import os
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
+
+from brindle.operators import ROWS_PER_SPLIT_SETTING  # noqa: E402
+from brindle.session import local_session  # noqa: E402
+from brindle.sources import SCHEMAS, Tables  # noqa: E402
+
+DATA = Path(os.environ.get("TEST_DATA", "/root/testdata"))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session(8, **{"spark.sql.shuffle.partitions": "4"})
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def small():
+    return str(DATA / "sf0.001")
+
+
+@pytest.fixture(scope="session")
+def medium():
+    return str(DATA / "sf0.01")
+
+
+@pytest.fixture(scope="session")
+def skewed(spark, tmp_path_factory):
+    """The small tables with one key of each holding about a third of the rows or more."""
+    folder = str(tmp_path_factory.mktemp("skewed"))
+    t = Tables(spark, str(DATA / "sf0.001"))
+
+    def hot(key: str, by: str, value):
+        return F.when(F.col(by) % 5 < 2, F.lit(value)).otherwise(F.col(key))
+
+    changed = {
+        "events": t.events.withColumn("user_id", hot("user_id", "event_id", 7).cast("bigint")),
+        "orders": t.orders.withColumns({
+            "o_custkey": hot("o_custkey", "o_orderkey", 3).cast("bigint"),
+            "o_orderpriority": hot("o_orderpriority", "o_orderkey", "1-URGENT"),
+            "o_totalprice": hot("o_totalprice", "o_orderkey", 1234.5),
+            "o_orderdate": F.when(F.col("o_orderkey") % 3 == 0,
+                                  F.lit("1997-05-05").cast("timestamp_ntz"))
+                            .otherwise(F.col("o_orderdate")),
+        }),
+        "lineitem": t.lineitem.withColumns({
+            "l_partkey": hot("l_partkey", "l_orderkey", 11).cast("bigint"),
+            "l_suppkey": hot("l_suppkey", "l_orderkey", 2).cast("bigint"),
+            "l_orderkey": hot("l_orderkey", "l_orderkey", 5).cast("bigint"),
+        }),
+        "customer": t.customer.withColumns({
+            "c_nationkey": hot("c_nationkey", "c_custkey", 4).cast("int"),
+            "c_acctbal": hot("c_acctbal", "c_custkey", 500.25),
+        }),
+        "supplier": t.supplier.withColumns({
+            "s_nationkey": F.when(F.col("s_suppkey") < 8, 4).otherwise(F.col("s_nationkey")),
+            "s_acctbal": F.when(F.col("s_suppkey") < 6, 400.5).otherwise(F.col("s_acctbal")),
+        }),
+        "conversations": t.conversations.withColumns({
+            # turns stay unique when conversations become one
+            "turn": F.col("conv_id") * 100 + F.col("turn"),
+            "conv_id": hot("conv_id", "conv_id", 1).cast("bigint"),
+        }),
+    }
+    for name in SCHEMAS:
+        df = changed.get(name, getattr(t, name))
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Splits of 20 rows, so that most groups of the small tables are hot."""
+    spark.conf.set(ROWS_PER_SPLIT_SETTING, "20")
+    yield 20
+    spark.conf.unset(ROWS_PER_SPLIT_SETTING)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 
 import duckdb
 from pyspark.sql import DataFrame
@@ -22,8 +23,10 @@ DUCK_TYPES = {
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for name in SCHEMAS:
-        connection.execute(
-            f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
+        # one file, or a folder of files as Spark writes it
+        table = f"{folder}/{name}.parquet"
+        files = f"{table}/*.parquet" if os.path.isdir(table) else table
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{files}')")
     return connection
 
 
