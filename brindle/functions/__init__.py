@@ -1,4 +1,4 @@
-from brindle.functions.numbers import decimal, discounted, money
+from brindle.functions.numbers import charged, discounted, exact_sum, hundredths, money
 from brindle.functions.vectors import dot
 
-__all__ = ["decimal", "discounted", "dot", "money"]
+__all__ = ["charged", "discounted", "dot", "exact_sum", "hundredths", "money"]

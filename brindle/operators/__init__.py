@@ -1,3 +1,4 @@
+from brindle.operators.grouped import intersection, with_totals
 from brindle.operators.joins import band_join, grid_join
 from brindle.operators.ordered import ROWS_PER_SPLIT_SETTING, OrderedGroups
 from brindle.operators.ranking import exact_quantiles, largest_per_group, rank_rows
@@ -16,8 +17,10 @@ __all__ = [
     "count_in_intervals",
     "exact_quantiles",
     "grid_join",
+    "intersection",
     "largest_per_group",
     "rank_rows",
     "sessions",
     "trailing_sums",
+    "with_totals",
 ]

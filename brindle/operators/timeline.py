@@ -81,15 +81,15 @@ def trailing_sums(df: DataFrame, keys: Sequence[str], at: str, reach: Column,
     """Sums over the rows of the last ``reach`` (an interval), for every instant of a key.
 
     One row per key and instant, covering [instant - reach, instant]. A row
-    counts when it comes and is taken off after ``reach``, so give whole or
-    decimal columns: a difference of float sums is not exact.
+    counts when it comes and is taken off after ``reach``, so give whole numbers: a
+    difference of float sums is not exact.
     """
     instants = df.groupBy(*keys, at).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    leaving = instants.select(
-        *keys, (F.col(at) + reach).alias(at), F.lit(1).alias("_leaves"),
-        *[(-F.col(n)).alias(n) for n in sums],
-    )
-    axis = instants.withColumn("_leaves", F.lit(0)).unionByName(leaving)
+    comes = F.struct(F.col(at), F.lit(0).alias("_leaves"), *sums)
+    leaves = F.struct((F.col(at) + reach).alias(at), F.lit(1).alias("_leaves"),
+                      *[(-F.col(n)).alias(n) for n in sums])
+    axis = instants.select(*keys, F.explode(F.array(comes, leaves)).alias("_step")).select(
+        *keys, "_step.*")
     return (
         OrderedGroups.of(axis, keys, [at, "_leaves"], rows_per_split)
         .running(**{f"_{n}": ("sum", n) for n in sums})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions import decimal, discounted, money
+from brindle.functions import charged, discounted, exact_sum, hundredths, money
 from brindle.operators import exact_quantiles
 from brindle.plans.registry import Plans
 from brindle.sources import Tables
@@ -31,15 +31,14 @@ WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00'
 GROUP BY l_returnflag, l_linestatus
 """)
 def pricing_summary(t: Tables) -> DataFrame:
-    charge = discounted() * (1 + F.col("l_tax").cast("decimal(3,2)"))
     return (
         t.lineitem.where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            money(F.sum(decimal("l_quantity"))).alias("sum_qty"),
-            money(F.sum(decimal("l_extendedprice"))).alias("sum_base_price"),
-            money(F.sum(discounted())).alias("sum_disc_price"),
-            money(F.sum(charge)).alias("sum_charge"),
+            money(exact_sum(hundredths("l_quantity"), 2)).alias("sum_qty"),
+            money(exact_sum(hundredths("l_extendedprice"), 2)).alias("sum_base_price"),
+            money(exact_sum(discounted(), 4)).alias("sum_disc_price"),
+            money(exact_sum(charged(), 6)).alias("sum_charge"),
             F.count(F.lit(1)).alias("n_lines"),
         )
         .withColumns({
@@ -72,7 +71,7 @@ FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)
 def quantity_rollup(t: Tables) -> DataFrame:
     # Rolling up the finest groups copies a few rows, not every line.
     finest = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum(decimal("l_quantity")).alias("qty"), F.count(F.lit(1)).alias("n"))
+        exact_sum(hundredths("l_quantity"), 2).alias("qty"), F.count(F.lit(1)).alias("n"))
     return finest.rollup("l_returnflag", "l_linestatus").agg(
         money(F.sum("qty")).alias("sum_qty"), F.sum("n").alias("n_lines"))
 
@@ -87,7 +86,7 @@ GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())
 def order_grouping_sets(t: Tables) -> DataFrame:
     by, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     finest = t.orders.groupBy(by, priority).agg(
-        F.sum(decimal("o_totalprice")).alias("price"), F.count(F.lit(1)).alias("n"))
+        exact_sum(hundredths("o_totalprice"), 2).alias("price"), F.count(F.lit(1)).alias("n"))
     return finest.groupingSets([(by, priority), (priority,), ()], by, priority).agg(
         money(F.sum("price")).alias("total"), F.sum("n").alias("n_orders"))
 
@@ -101,7 +100,7 @@ FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)
 """)
 def revenue_cube(t: Tables) -> DataFrame:
     finest = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum(discounted()).alias("r"))
+        exact_sum(discounted(), 4).alias("r"))
     return finest.cube("l_returnflag", "l_linestatus").agg(
         F.grouping_id().alias("level"), money(F.sum("r")).alias("revenue"))
 
@@ -175,7 +174,7 @@ FROM events GROUP BY ALL
 def tumbling_hours(t: Tables) -> DataFrame:
     return (
         t.events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-        .agg(F.count(F.lit(1)).alias("n"), money(F.sum(decimal("value"))).alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), money(exact_sum(hundredths("value"), 2)).alias("total"))
         .select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
     )
 

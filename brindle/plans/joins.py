@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions import decimal, discounted, money
-from brindle.operators import asof_join, band_join, count_in_intervals
+from brindle.functions import discounted, exact_sum, hundredths, money
+from brindle.operators import asof_join, band_join, count_in_intervals, with_totals
 from brindle.plans.registry import Plans
 from brindle.sources import Tables
 
@@ -33,7 +33,7 @@ def regional_revenue(t: Tables) -> DataFrame:
         t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.supplier, (F.col("l_suppkey") == F.col("s_suppkey"))
               & (F.col("s_nationkey") == F.col("n_nationkey")))
-        .groupBy("n_name").agg(money(F.sum(discounted())).alias("revenue"))
+        .groupBy("n_name").agg(money(exact_sum(discounted(), 4)).alias("revenue"))
     )
 
 
@@ -46,7 +46,7 @@ GROUP BY o_orderkey, o_orderpriority
 def order_line_counts(t: Tables) -> DataFrame:
     # Lines are summed by order before the join, where an order has one row on each side.
     lines = t.lineitem.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(decimal("l_extendedprice")).alias("price"))
+        F.count(F.lit(1)).alias("n"), exact_sum(hundredths("l_extendedprice"), 2).alias("price"))
     return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         "o_orderkey", "o_orderpriority",
         F.coalesce("n", F.lit(0)).alias("n_lines"), money(F.col("price")).alias("gross"))
@@ -87,7 +87,7 @@ def customer_purchases_full(t: Tables) -> DataFrame:
     # Adaptive execution cannot split a full outer join, so each side has one row a key.
     bought = (
         t.events.where(F.col("event_type") == "purchase").groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("n_events"), money(F.sum(decimal("value"))).alias("total"))
+        .agg(F.count(F.lit(1)).alias("n_events"), money(exact_sum(hundredths("value"), 2)).alias("total"))
     )
     # the shift gives both sides keys the other lacks
     return t.customer.select("c_custkey", "c_name").join(
@@ -162,13 +162,16 @@ WHERE l_quantity < (SELECT 0.4 * sum(l_quantity) / count(*) FROM lineitem AS i
                     WHERE i.l_partkey = o.l_partkey)
 """)
 def small_quantity_lines(t: Tables) -> DataFrame:
-    # One mean per part, joined back. Adaptive execution splits the lines of a hot part.
-    means = t.lineitem.groupBy("l_partkey").agg(
-        (0.4 * F.sum("l_quantity") / F.count(F.lit(1))).alias("limit"))
-    return t.lineitem.join(means, "l_partkey").where(
-        F.col("l_quantity") < F.col("limit")
-    ).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-             "l_extendedprice")
+    # The lines and their part's mean from one scan and one shuffle. A join with the
+    # means would not be split for a hot part, as an aggregate stands below it.
+    lines = t.lineitem.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"
+    ).where(F.col("l_partkey").isNotNull())
+    totals = with_totals(lines, ["l_partkey"], {
+        "part_qty": F.sum("l_quantity"), "part_lines": F.count("l_quantity")})
+    return totals.where(
+        F.col("l_quantity") < 0.4 * F.col("part_qty") / F.col("part_lines")
+    ).drop("part_qty", "part_lines")
 
 
 @plans("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions import decimal, money
+from brindle.functions import hundredths
 from brindle.operators import (
     OrderedGroups,
     largest_per_group,
@@ -29,7 +29,6 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def event_neighbours(t: Tables) -> DataFrame:
     events = t.events.select("event_id", "user_id", "event_type", "ts")
-    # the first value is the last one that is set on the first row only
     return (
         OrderedGroups.of(events, ["user_id"], ["ts", "event_id"])
         .frame(
@@ -38,9 +37,9 @@ def event_neighbours(t: Tables) -> DataFrame:
             next_type=lambda w: F.lead("event_type").over(w),
             ts_two_before=lambda w: F.lag("ts", 2).over(w),
         )
-        .rowwise(lambda d: d.withColumn(
-            "opening", F.when(F.col("previous_type").isNull(), F.col("event_type"))))
-        .running(first_type=("last", "opening"))
+        .running(place=("count", F.lit(1)))
+        # the first value is the last one that is set on the first row only
+        .running(first_type=("last", F.when(F.col("place") == 1, F.col("event_type"))))
         .rows()
         .select("event_id", "user_id", "previous_type", "next_type", "first_type",
                 "ts_two_before")
@@ -107,8 +106,8 @@ WINDOW w AS (PARTITION BY user_id ORDER BY ts
 def trailing_day(t: Tables) -> DataFrame:
     return trailing_sums(
         t.events, ["user_id"], "ts", F.expr("interval 24 hours"),
-        {"n_in_day": F.lit(1), "value_in_day": decimal("value")},
-    ).withColumn("value_in_day", money(F.col("value_in_day")))
+        {"n_in_day": F.lit(1), "value_in_day": hundredths("value")},
+    ).withColumn("value_in_day", F.col("value_in_day") / 100)
 
 
 @plans("""
@@ -124,11 +123,11 @@ def running_totals(t: Tables) -> DataFrame:
     events = t.events.select("event_id", "user_id", "value", "ts")
     return (
         OrderedGroups.of(events, ["user_id"], ["ts", "event_id"])
-        .running(n_so_far=("count", F.lit(1)), value_so_far=("sum", decimal("value")),
+        .running(n_so_far=("count", F.lit(1)), value_so_far=("sum", hundredths("value")),
                  min_so_far=("min", "value"))
         .rows()
         .select("event_id", "user_id", "n_so_far",
-                money(F.col("value_so_far")).alias("value_so_far"), "min_so_far")
+                (F.col("value_so_far") / 100).alias("value_so_far"), "min_so_far")
     )
 
 
@@ -171,8 +170,8 @@ GROUP BY user_id, session
 def user_sessions(t: Tables) -> DataFrame:
     return sessions(
         t.events, ["user_id"], "ts", "event_id", F.expr("interval 6 hours"),
-        {"total": decimal("value")},
-    ).withColumn("total", money(F.col("total")))
+        {"total": hundredths("value")},
+    ).withColumn("total", F.col("total") / 100)
 
 
 PAGE = 4

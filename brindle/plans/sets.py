@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators import intersection
 from brindle.plans.registry import Plans
 from brindle.sources import Tables
 
@@ -24,11 +25,10 @@ SELECT l_partkey AS partkey FROM lineitem WHERE l_returnflag = 'R'
 INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'
 """)
 def parts_returned_and_accepted(t: Tables) -> DataFrame:
-    # Distinct first: intersect() alone would shuffle a hot part's repeats.
     def parts(flag: str) -> DataFrame:
         return t.lineitem.where(F.col("l_returnflag") == flag).select(
-            F.col("l_partkey").alias("partkey")).distinct()
-    return parts("R").intersect(parts("A"))
+            F.col("l_partkey").alias("partkey"))
+    return intersection(parts("R"), parts("A"))
 
 
 @plans("""

@@ -30,6 +30,8 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": "8",
+        # no stack trace is taken for each column expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
