@@ -85,15 +85,26 @@ class OrderedGroups:
 
     @classmethod
     def of(cls, df: DataFrame, keys: Sequence[str], order: Sequence[str],
-           rows_per_split: int | None = None) -> OrderedGroups:
+           rows_per_split: int | None = None,
+           at_most: DataFrame | None = None) -> OrderedGroups:
+        """Group ``df``, finding its hot groups by a count.
+
+        Where counting ``df`` would repeat a shuffle, give ``at_most``: rows that
+        are cheaper to count and at least as many in each group. If no group is
+        hot there, none is in ``df``.
+        """
         keys, order = list(keys), list(order)
         rows_per_split = rows_per_split or split_size(df.sparkSession)
         if not keys:
             df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
+            at_most = at_most if at_most is None else at_most.withColumn(_ALL, F.lit(0))
+        whole = cls(df, None, None, keys, order, rows_per_split)
+        if at_most is not None and hot_groups(at_most, keys, rows_per_split).isEmpty():
+            return whole
         groups = hot_groups(df, keys, rows_per_split)
         hot_rows = groups.agg(F.sum("_rows")).first()[0]
         if hot_rows is None:
-            return cls(df, None, None, keys, order, rows_per_split)
+            return whole
 
         checkpoint_folder(df.sparkSession)
         groups = groups.checkpoint()

@@ -55,10 +55,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     Equal values are counted before the shuffle, and no group's values meet in
     one task: the value at a position is found from running counts.
     """
-    counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-               .agg(F.count(F.lit(1)).alias("_same")))
+    known = df.where(F.col(value).isNotNull())
+    counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_same"))
     placed = (
-        OrderedGroups.of(counted, keys, [value], rows_per_split)
+        OrderedGroups.of(counted, keys, [value], rows_per_split, at_most=known)
         .running(_upto=("sum", "_same"))
         .total(_n=("sum", "_same"))
         .rows()

@@ -65,8 +65,9 @@ def count_in_intervals(intervals: DataFrame, points: DataFrame, keys: Sequence[s
         )).alias("_end"),
     ).select(*keys, "_id", "_end.*")
     axis = ends.unionByName(on_axis, allowMissingColumns=True)
+    at_most = ends.select(*keys, "_at").union(points.select(*keys, point))
     return (
-        OrderedGroups.of(axis, keys, ["_at", "_kind", "_id"], rows_per_split)
+        OrderedGroups.of(axis, keys, ["_at", "_kind", "_id"], rows_per_split, at_most)
         .running(_upto=("sum", "_n"))
         .rows()
         .where(F.col("_kind") != 1)
@@ -88,10 +89,11 @@ def trailing_sums(df: DataFrame, keys: Sequence[str], at: str, reach: Column,
     comes = F.struct(F.col(at), F.lit(0).alias("_leaves"), *sums)
     leaves = F.struct((F.col(at) + reach).alias(at), F.lit(1).alias("_leaves"),
                       *[(-F.col(n)).alias(n) for n in sums])
-    axis = instants.select(*keys, F.explode(F.array(comes, leaves)).alias("_step")).select(
-        *keys, "_step.*")
+    steps = F.explode(F.array(comes, leaves)).alias("_step")
+    axis = instants.select(*keys, steps).select(*keys, "_step.*")
+    at_most = df.select(*keys, F.explode(F.array(F.lit(0), F.lit(1))))
     return (
-        OrderedGroups.of(axis, keys, [at, "_leaves"], rows_per_split)
+        OrderedGroups.of(axis, keys, [at, "_leaves"], rows_per_split, at_most)
         .running(**{f"_{n}": ("sum", n) for n in sums})
         .rows()
         .where(F.col("_leaves") == 0)

@@ -12,9 +12,16 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+# For streams, used where the session does not say otherwise.
+STREAM_DEFAULTS = {
     # a hot key's rows are merged into sessions before the shuffle, not after it
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # state on disk, so that the number of open windows is not bound by memory
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"

@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from brindle.session import DEFAULTS, scratch_path
+from brindle.session import STREAM_DEFAULTS, scratch_path
 from brindle.sources import SCHEMAS
 
-LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-
 
 def read_stream(spark: SparkSession, folder: str, table: str, at: str, late_by: str,
                 files_per_trigger: int | None = None) -> DataFrame:
@@ -30,13 +28,15 @@ def read_stream(spark: SparkSession, folder: str, table: str, at: str, late_by:
 
 def _finish(spark: SparkSession, writer: DataStreamWriter) -> None:
     """Take in all the files there are, then stop."""
-    merge = spark.conf.get(LOCAL_MERGE)
-    spark.conf.set(LOCAL_MERGE, DEFAULTS[LOCAL_MERGE])  # the query keeps what it starts with
+    unset = {k: v for k, v in STREAM_DEFAULTS.items() if k not in spark.conf.getAll}
+    for key, value in unset.items():
+        spark.conf.set(key, value)
     try:
         query = (writer.option("checkpointLocation", scratch_path(spark, "progress"))
                  .trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(LOCAL_MERGE, merge)
+    finally:  # the query keeps the settings it started with
+        for key in unset:
+            spark.conf.unset(key)
     query.awaitTermination()
 
 
