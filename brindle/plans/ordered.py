@@ -179,7 +179,8 @@ PAGE = 4
 
 @plans(f"""
 SELECT conv_id, CAST(floor((pos - 1) / {PAGE}) AS BIGINT) AS page,
-       list(role || ': ' || text ORDER BY turn) AS turns
+       CAST(count(*) AS INT) AS n_turns,
+       string_agg(role || ': ' || text, ' | ' ORDER BY turn) AS turns
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos
       FROM conversations)
 GROUP BY ALL
@@ -195,5 +196,6 @@ def conversation_pages(t: Tables) -> DataFrame:
     return (
         placed.groupBy("conv_id", F.floor((F.col("pos") - 1) / PAGE).alias("page"))
         .agg(F.array_sort(F.collect_list(said)).alias("found"))
-        .select("conv_id", "page", F.col("found.said").alias("turns"))
+        .select("conv_id", "page", F.size("found").alias("n_turns"),
+                F.array_join("found.said", " | ").alias("turns"))
     )
