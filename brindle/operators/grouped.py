@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.ordered import hot_groups, matching, split_size
-from brindle.session import checkpoint_folder
+from brindle.operators.ordered import hot_groups, matching, split_size, written
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column],
@@ -18,7 +17,7 @@ def with_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column],
     The rows of a hot group are not moved: the totals of hot groups, of which
     there are at most rows / rows_per_split, are sent to them.
     """
-    groups = hot_groups(df, keys, rows_per_split or split_size(df.sparkSession))
+    groups = written(hot_groups(df, keys, rows_per_split or split_size(df.sparkSession)))
     whole = Window.partitionBy(*keys)
 
     def windowed(rows: DataFrame) -> DataFrame:
@@ -26,8 +25,6 @@ def with_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column],
 
     if groups.isEmpty():
         return windowed(df)
-    checkpoint_folder(df.sparkSession)
-    groups = groups.checkpoint()
     hot = matching(df, groups.select(*keys), keys, "left_semi")
     hot_totals = hot.groupBy(*keys).agg(*[total.alias(n) for n, total in totals.items()])
     return windowed(matching(df, groups, keys, "left_anti")).unionByName(

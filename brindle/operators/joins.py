@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.ordered import hot_groups, matching, split_size
-from brindle.session import checkpoint_folder
+from brindle.operators.ordered import hot_groups, matching, split_size, written
 
 
 def _with_cuts(df: DataFrame, left_cuts: DataFrame, right_cuts: DataFrame,
@@ -43,15 +42,13 @@ def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: s
     Other keys take the join unchanged.
     """
     rows_per_split = rows_per_split or split_size(left.sparkSession)
-    left_hot = hot_groups(left.dropna(subset=list(keys)), keys, rows_per_split)
-    right_hot = hot_groups(right.dropna(subset=list(keys)), keys, rows_per_split)
-    if left_hot.isEmpty() and right_hot.isEmpty():
+    left_cuts, right_cuts = (
+        written(hot_groups(side.dropna(subset=list(keys)), keys, rows_per_split).select(
+            *keys, F.ceil(F.col("_rows") / rows_per_split).alias(name)))
+        for side, name in ((left, "_left_cuts"), (right, "_right_cuts"))
+    )
+    if left_cuts.isEmpty() and right_cuts.isEmpty():
         return left.join(right, list(keys))
-
-    checkpoint_folder(left.sparkSession)
-    parts = F.ceil(F.col("_rows") / rows_per_split)
-    left_cuts = left_hot.select(*keys, parts.alias("_left_cuts")).checkpoint()
-    right_cuts = right_hot.select(*keys, parts.alias("_right_cuts")).checkpoint()
     left = _cut(_with_cuts(left, left_cuts, right_cuts, keys), left_id, "_left", "_right")
     right = _cut(_with_cuts(right, left_cuts, right_cuts, keys), right_id, "_right", "_left")
     return left.join(right, [*keys, "_left_cell", "_right_cell"]).drop(

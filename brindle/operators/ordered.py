@@ -31,7 +31,7 @@ _ALL = "_all_rows"
 _SPLIT = "_split"
 _POS = "_position"
 
-_WINDOW = {
+_AGGREGATE = {
     "count": F.count,
     "sum": F.sum,
     "min": F.min,
@@ -39,18 +39,53 @@ _WINDOW = {
     "last": lambda c: F.last(c, ignorenulls=True),
 }
 # how the results of earlier splits add up to the carry into a split
-_CARRY = _WINDOW | {"count": F.sum}
+_CARRY = _AGGREGATE | {"count": F.sum, "first": F.first, "previous": _AGGREGATE["last"]}
 _COMBINE: dict[str, Callable[[Column, Column], Column]] = {
     "count": lambda here, carry: here + F.coalesce(carry, F.lit(0)),
     "sum": lambda here, carry: F.coalesce(here + carry, here, carry),
     "min": F.least,
     "max": F.greatest,
     "last": F.coalesce,
+    "first": lambda here, carry: F.coalesce(carry, here),
+    "previous": F.coalesce,
 }
+# Values of a certain row, null or not: in a struct, to tell a null from no row.
+_OF_A_ROW = {"first", "previous"}
 
 Aggregate = tuple[str, str | Column]
 
 
+def _boxed(value: Column) -> Column:
+    return F.struct(value.alias("it"))
+
+
+def _here(how: str, value: Column, ordered: WindowSpec) -> Column:
+    """The aggregate up to the current row, inside one window partition."""
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if how == "previous":
+        return F.lag(_boxed(value)).over(ordered)
+    if how == "first":
+        return F.first(_boxed(value)).over(upto)
+    return _AGGREGATE[how](value).over(upto)
+
+
+def _total(how: str, value: Column, order: Sequence[str]) -> Column:
+    """What a split gives to those after it."""
+    at = F.struct(*order)
+    if how == "first":
+        return F.min_by(_boxed(value), at)
+    if how == "previous":
+        return F.max_by(_boxed(value), at)
+    if how == "last":
+        return F.max_by(value, F.when(value.isNotNull(), at))
+    return _AGGREGATE[how](value)
+
+
+def _columns(aggregates: dict[str, Aggregate]) -> dict[str, tuple[str, Column]]:
+    return {n: (how, F.col(value) if isinstance(value, str) else value)
+            for n, (how, value) in aggregates.items()}
+
+
 def split_size(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_SPLIT_SETTING, str(ROWS_PER_SPLIT)))
 
@@ -64,6 +99,12 @@ def matching(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) ->
     return df.join(F.broadcast(renamed), same, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df``, computed now and kept in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], rows_per_split: int) -> DataFrame:
     """Groups with more rows than one split, with their row count ``_rows``."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -77,9 +118,9 @@ class OrderedGroups:
     column); that makes the results repeatable and lets equal values be split.
     """
 
-    def __init__(self, cold: DataFrame, hot: DataFrame | None, groups: DataFrame | None,
+    def __init__(self, cold: DataFrame, hot: DataFrame | None,
                  keys: list[str], order: list[str], rows_per_split: int):
-        self._cold, self._hot, self._groups = cold, hot, groups
+        self._cold, self._hot = cold, hot
         self._keys, self._order = keys, order
         self._rows_per_split = rows_per_split
 
@@ -98,71 +139,63 @@ class OrderedGroups:
         if not keys:
             df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
             at_most = at_most if at_most is None else at_most.withColumn(_ALL, F.lit(0))
-        whole = cls(df, None, None, keys, order, rows_per_split)
+        whole = cls(df, None, keys, order, rows_per_split)
         if at_most is not None and hot_groups(at_most, keys, rows_per_split).isEmpty():
             return whole
-        groups = hot_groups(df, keys, rows_per_split)
+        groups = written(hot_groups(df, keys, rows_per_split))
         hot_rows = groups.agg(F.sum("_rows")).first()[0]
         if hot_rows is None:
             return whole
 
-        checkpoint_folder(df.sparkSession)
-        groups = groups.checkpoint()
         splits = math.ceil(hot_rows / rows_per_split)
         # Written out, because the split of a row must be the same in every job.
-        hot = (
+        hot = written(
             matching(df, groups, keys, "left_semi")
             .repartitionByRange(splits, *keys, *order)
             .withColumn(_SPLIT, F.spark_partition_id())
-            .checkpoint()
         )
         cold = matching(df, groups, keys, "left_anti")
-        return cls(cold, hot, groups, keys, order, rows_per_split)
+        return cls(cold, hot, keys, order, rows_per_split)
 
     @property
     def is_split(self) -> bool:
         return self._hot is not None
 
     def _with(self, cold: DataFrame, hot: DataFrame | None) -> OrderedGroups:
-        return OrderedGroups(cold, hot, self._groups, self._keys, self._order,
-                             self._rows_per_split)
+        return OrderedGroups(cold, hot, self._keys, self._order, self._rows_per_split)
 
-    def _running_hot(self, aggregates: dict[str, Aggregate]) -> DataFrame:
+    def _running_hot(self, aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
         place = [*self._keys, _SPLIT]
-        within = (Window.partitionBy(*place).orderBy(*self._order)
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        within = Window.partitionBy(*place).orderBy(*self._order)
         before = (Window.partitionBy(*self._keys).orderBy(_SPLIT)
                   .rowsBetween(Window.unboundedPreceding, -1))
-        totals, carries, here = {}, {}, {}
+        totals, carries, here, done = {}, {}, {}, {}
         for name, (how, value) in aggregates.items():
-            value = F.col(value) if isinstance(value, str) else value
-            if how == "last":
-                at = F.when(value.isNotNull(), F.struct(*self._order))
-                totals[name] = F.max_by(value, at).alias(name)
-            else:
-                totals[name] = _WINDOW[how](value).alias(name)
+            totals[name] = _total(how, value, self._order)
             carries[name] = _CARRY[how](F.col(name)).over(before).alias(f"_carry_{name}")
-            here[f"_here_{name}"] = _WINDOW[how](value).over(within)
-        carry = (self._hot.groupBy(*place).agg(*totals.values())
-                 .select(*place, *carries.values()))
-        joined = matching(self._hot.withColumns(here), carry, place, "inner")
-        done = {
-            name: _COMBINE[how](F.col(f"_here_{name}"), F.col(f"_carry_{name}"))
-            for name, (how, _) in aggregates.items()
-        }
-        return joined.withColumns(done).drop(*here, *[f"_carry_{n}" for n in aggregates])
+            here[f"_here_{name}"] = _here(how, value, within)
+            found = _COMBINE[how](F.col(f"_here_{name}"), F.col(f"_carry_{name}"))
+            done[name] = found["it"] if how in _OF_A_ROW else found
+        # One row per split, and computed now: steps that follow would repeat it.
+        carry = written(
+            self._hot.groupBy(*place).agg(*[t.alias(n) for n, t in totals.items()])
+            .select(*place, *carries.values())
+        )
+        return (matching(self._hot.withColumns(here), carry, place, "inner")
+                .withColumns(done).drop(*here, *[f"_carry_{n}" for n in aggregates]))
 
     def running(self, **aggregates: Aggregate) -> OrderedGroups:
         """Add aggregates from the group's first row to the current one.
 
-        ``name=(how, column)``, where ``how`` is count, sum, min, max or last
-        (the last value that is not null).
+        ``name=(how, column)``, where ``how`` is count, sum, min, max, first (null
+        if the first row's is), previous (of the row before) or last (the last
+        value that is not null).
         """
-        window = (Window.partitionBy(*self._keys).orderBy(*self._order)
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        cold = self._cold.withColumns(
-            {n: _WINDOW[how](value).over(window) for n, (how, value) in aggregates.items()}
-        )
+        aggregates = _columns(aggregates)
+        ordered = Window.partitionBy(*self._keys).orderBy(*self._order)
+        columns = {n: _here(how, value, ordered) for n, (how, value) in aggregates.items()}
+        cold = self._cold.withColumns({
+            n: c["it"] if aggregates[n][0] in _OF_A_ROW else c for n, c in columns.items()})
         return self._with(cold, self._running_hot(aggregates) if self.is_split else None)
 
     def frame(self, before: int = 0, after: int = 0,
@@ -185,33 +218,38 @@ class OrderedGroups:
             F.when(offset >= length - before, F.col("_page") + 1),
             F.when((offset < after) & (F.col("_page") > 0), F.col("_page") - 1),
         )
+        if _POS in self._hot.columns:
+            numbered = self._hot
+        else:
+            numbered = self._running_hot({_POS: ("count", F.lit(1))})
         paged = (
-            self._with(self._cold, self._hot)._running_hot({_POS: ("count", F.lit(1))})
-            .withColumn("_page", F.floor((F.col(_POS) - 1) / length))
+            numbered.withColumn("_page", F.floor((F.col(_POS) - 1) / length))
             .withColumn("_at", F.explode(F.array_compact(wanted_by)))
         )
         page = Window.partitionBy(*self._keys, "_at").orderBy(_POS)
         hot = (paged.withColumns({n: make(page) for n, make in columns.items()})
                .where(F.col("_at") == F.col("_page"))
-               .drop("_at", "_page", _POS))
+               .drop("_at", "_page"))
         return self._with(cold, hot)
 
     def total(self, **aggregates: Aggregate) -> OrderedGroups:
-        """Add aggregates over the whole group to each of its rows."""
+        """Add aggregates (count, sum, min or max) over the whole group to each row."""
+        aggregates = _columns(aggregates)
         whole = Window.partitionBy(*self._keys)
         cold = self._cold.withColumns(
-            {n: _WINDOW[how](value).over(whole) for n, (how, value) in aggregates.items()}
+            {n: _AGGREGATE[how](value).over(whole) for n, (how, value) in aggregates.items()}
         )
         if not self.is_split:
             return self._with(cold, None)
-        sums = self._hot.groupBy(*self._keys).agg(
-            *[_WINDOW[how](value).alias(n) for n, (how, value) in aggregates.items()]
-        )
+        sums = written(self._hot.groupBy(*self._keys).agg(
+            *[_AGGREGATE[how](value).alias(n) for n, (how, value) in aggregates.items()]
+        ))
         return self._with(cold, matching(self._hot, sums, self._keys, "inner"))
 
     def rowwise(self, change: Callable[[DataFrame], DataFrame]) -> OrderedGroups:
         """Apply a change that looks at single rows (new columns, a filter)."""
-        return self._with(change(self._cold), change(self._hot) if self.is_split else None)
+        hot = change(self._hot).drop(_POS) if self.is_split else None
+        return self._with(change(self._cold), hot)
 
     def rows(self) -> DataFrame:
         """All rows, those of hot groups included."""

@@ -20,9 +20,8 @@ def rank_rows(df: DataFrame, keys: Sequence[str], by: str, unique: str,
     """
     groups = (
         OrderedGroups.of(df, keys, [by, unique], rows_per_split)
-        .running(row_num=("count", F.lit(1)))
         .total(_n=("count", F.lit(1)))
-        .frame(before=1, _prev=lambda w: F.lag(by).over(w))
+        .running(row_num=("count", F.lit(1)), _prev=("previous", by))
         .rowwise(lambda d: d.withColumn(
             "_start",
             F.when((F.col("row_num") == 1) | ~F.col(by).eqNullSafe(F.col("_prev")),

@@ -109,9 +109,10 @@ def sessions(df: DataFrame, keys: Sequence[str], at: str, unique: str, gap: Colu
     and the sums. A hot key is split like any ordered group, where Spark's batch
     ``session_window`` would send it to one task.
     """
+    needed = df.select(*keys, at, unique, *[c.alias(f"_{n}") for n, c in sums.items()])
     numbered = (
-        OrderedGroups.of(df, keys, [at, unique], rows_per_split)
-        .frame(before=1, _prev=lambda w: F.lag(at).over(w))
+        OrderedGroups.of(needed, keys, [at, unique], rows_per_split)
+        .running(_prev=("previous", at))
         .rowwise(lambda d: d.withColumn(
             "_starts",
             F.when(F.col("_prev").isNull() | (F.col(at) > F.col("_prev") + gap), 1)))
@@ -121,5 +122,5 @@ def sessions(df: DataFrame, keys: Sequence[str], at: str, unique: str, gap: Colu
     return numbered.groupBy(*keys, "_session").agg(
         F.min(at).alias("session_start"), F.max(at).alias("session_end"),
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.sum(c).alias(n) for n, c in sums.items()],
+        *[F.sum(f"_{n}").alias(n) for n in sums],
     ).drop("_session")

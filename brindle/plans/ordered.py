@@ -31,15 +31,13 @@ def event_neighbours(t: Tables) -> DataFrame:
     events = t.events.select("event_id", "user_id", "event_type", "ts")
     return (
         OrderedGroups.of(events, ["user_id"], ["ts", "event_id"])
+        .running(first_type=("first", "event_type"))
         .frame(
             before=2, after=1,
             previous_type=lambda w: F.lag("event_type").over(w),
             next_type=lambda w: F.lead("event_type").over(w),
             ts_two_before=lambda w: F.lag("ts", 2).over(w),
         )
-        .running(place=("count", F.lit(1)))
-        # the first value is the last one that is set on the first row only
-        .running(first_type=("last", F.when(F.col("place") == 1, F.col("event_type"))))
         .rows()
         .select("event_id", "user_id", "previous_type", "next_type", "first_type",
                 "ts_two_before")

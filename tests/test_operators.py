@@ -57,7 +57,8 @@ def test_running_frames_and_totals_equal_plain_windows(table, keys, rows_per_spl
     assert groups.is_split == (rows_per_split == SPLIT)
     found = (
         groups.running(n=("count", F.lit(1)), some=("count", "x"), s=("sum", "x"),
-                       lo=("min", "x"), hi=("max", "x"), seen=("last", "x"))
+                       lo=("min", "x"), hi=("max", "x"), seen=("last", "x"),
+                       opened=("first", "x"), prev=("previous", "x"))
         .frame(before=9, after=8,
                back=lambda w: F.lag("x", 9).over(w), ahead=lambda w: F.lead("x", 8).over(w),
                near=lambda w: F.sum("x").over(w.rowsBetween(-3, 5)))
@@ -71,7 +72,8 @@ def test_running_frames_and_totals_equal_plain_windows(table, keys, rows_per_spl
     expected = table.withColumns({
         "n": F.count(F.lit(1)).over(upto), "some": F.count("x").over(upto),
         "s": F.sum("x").over(upto), "lo": F.min("x").over(upto), "hi": F.max("x").over(upto),
-        "seen": F.last("x", ignorenulls=True).over(upto),
+        "seen": F.last("x", ignorenulls=True).over(upto), "opened": F.first("x").over(upto),
+        "prev": F.lag("x").over(w),
         "back": F.lag("x", 9).over(w), "ahead": F.lead("x", 8).over(w),
         "near": F.sum("x").over(w.rowsBetween(-3, 5)),
         "most": F.max("x").over(whole), "rows": F.count(F.lit(1)).over(whole),
