@@ -45,7 +45,7 @@ def skewed(spark, tmp_path_factory):
     changed = {
         "events": t.events.withColumn("user_id", hot("user_id", "event_id", 7).cast("bigint")),
         "orders": t.orders.withColumns({
-            "o_custkey": hot("o_custkey", "o_orderkey", 3).cast("bigint"),
+            "o_custkey": hot("o_custkey", "o_orderkey", 5).cast("bigint"),
             "o_orderpriority": hot("o_orderpriority", "o_orderkey", "1-URGENT"),
             "o_totalprice": hot("o_totalprice", "o_orderkey", 1234.5),
             "o_orderdate": F.when(F.col("o_orderkey") % 3 == 0,
@@ -58,11 +58,11 @@ def skewed(spark, tmp_path_factory):
             "l_orderkey": hot("l_orderkey", "l_orderkey", 5).cast("bigint"),
         }),
         "customer": t.customer.withColumns({
-            "c_nationkey": hot("c_nationkey", "c_custkey", 4).cast("int"),
+            "c_nationkey": hot("c_nationkey", "c_custkey", 12).cast("int"),
             "c_acctbal": hot("c_acctbal", "c_custkey", 500.25),
         }),
         "supplier": t.supplier.withColumns({
-            "s_nationkey": F.when(F.col("s_suppkey") < 8, 4).otherwise(F.col("s_nationkey")),
+            "s_nationkey": F.when(F.col("s_suppkey") < 8, 12).otherwise(F.col("s_nationkey")),
             "s_acctbal": F.when(F.col("s_suppkey") < 6, 400.5).otherwise(F.col("s_acctbal")),
         }),
         "conversations": t.conversations.withColumns({

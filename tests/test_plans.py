@@ -67,3 +67,39 @@ def test_top_rows_are_cut_before_the_shuffle(plans):
 def test_number_of_shuffles(plans, name, shuffles):
     tree = plans[name].split("\n\n")[0]
     assert tree.count("Exchange") == shuffles
+
+
+def test_equi_joins_are_split_for_hot_keys_at_run_time(spark, skewed):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+        # several files, as a partition is split along its map tasks
+        "spark.sql.files.maxPartitionBytes": "8KB",
+        "spark.sql.files.openCostInBytes": "0",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = QUERIES["regional_revenue"](spark, skewed)
+        df.collect()
+        assert "SortMergeJoin(skew=true)" in plan_of(df)
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def test_hot_path_has_no_cross_join_and_no_python(spark, skewed, tiny_splits):
+    for name in ("event_neighbours", "order_date_ranks", "user_sessions", "price_quantiles",
+                 "views_before_purchase", "balance_band_pairs", "small_quantity_lines"):
+        plan = plan_of(QUERIES[name](spark, skewed))
+        for operator in ("CartesianProduct", "NestedLoop", "Python", "Pandas"):
+            assert operator not in plan, name
