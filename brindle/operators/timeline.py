@@ -22,14 +22,14 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str,
 
     Both sides carry ``keys`` and ``on``. Where several right rows share an
     instant, the one with the greatest ``right_id`` is taken. Left rows without
-    a match keep null ``right_columns``.
+    a match keep null ``right_columns``; null keys and instants match nothing.
     """
     kept = [c for c in left.columns if c not in {*keys, on}]
     asked = left.select(
         *keys, on, F.lit(1).alias("_asks"), F.col(left_id).alias("_tie"),
         F.struct(*kept).alias("_left"),
     )
-    given = right.select(
+    given = right.dropna(subset=[*keys, on]).select(
         *keys, on, F.lit(0).alias("_asks"), F.col(right_id).alias("_tie"),
         F.struct(*right_columns).alias("_right"),
     )
@@ -51,17 +51,21 @@ def count_in_intervals(intervals: DataFrame, points: DataFrame, keys: Sequence[s
     """How many points of its key lie in each interval, both ends included.
 
     Points up to the high end less points before the low end. Returns
-    ``interval_id`` and the count for every interval.
+    ``interval_id`` and the count for every interval. Null keys, points and ends
+    match nothing, as in a join on BETWEEN.
     """
+    points = points.dropna(subset=[*keys, point])
     # Equal points become one row first, so copies of a point cost nothing.
     counted = (points.groupBy(*keys, F.col(point).alias("_at"))
                .agg(F.count(F.lit(1)).alias("_n")))
     on_axis = counted.withColumn("_kind", F.lit(1))
+    # an interval that is empty or lacks an end has both ends before all points
+    real = F.col(low) <= F.col(high)
     ends = intervals.select(
         *keys, F.col(interval_id).alias("_id"),
         F.explode(F.array(
-            F.struct(F.col(low).alias("_at"), F.lit(0).alias("_kind")),
-            F.struct(F.col(high).alias("_at"), F.lit(2).alias("_kind")),
+            F.struct(F.when(real, F.col(low)).alias("_at"), F.lit(0).alias("_kind")),
+            F.struct(F.when(real, F.col(high)).alias("_at"), F.lit(2).alias("_kind")),
         )).alias("_end"),
     ).select(*keys, "_id", "_end.*")
     axis = ends.unionByName(on_axis, allowMissingColumns=True)
@@ -83,9 +87,10 @@ def trailing_sums(df: DataFrame, keys: Sequence[str], at: str, reach: Column,
 
     One row per key and instant, covering [instant - reach, instant]. A row
     counts when it comes and is taken off after ``reach``, so give whole numbers: a
-    difference of float sums is not exact.
+    difference of float sums is not exact. Nulls add nothing.
     """
-    instants = df.groupBy(*keys, at).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    instants = df.groupBy(*keys, at).agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(n) for n, c in sums.items()])
     comes = F.struct(F.col(at), F.lit(0).alias("_leaves"), *sums)
     leaves = F.struct((F.col(at) + reach).alias(at), F.lit(1).alias("_leaves"),
                       *[(-F.col(n)).alias(n) for n in sums])

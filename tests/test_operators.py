@@ -149,14 +149,15 @@ def in_time(table):
 
 @BOTH
 def test_asof(table, rows_per_split):
-    timed = in_time(table)
+    timed = in_time(table).withColumn("at", F.when(F.col("id") % 17 > 0, F.col("at")))
     asked = timed.where("id % 2 = 0").select("k", "at", "id")
     given = timed.where("id % 2 = 1").select("k", "at", F.col("id").alias("g_id"), "x")
     found = asof_join(asked, given, ["k"], "at", "id", ["g_id", "x"], "g_id", rows_per_split)
     facts = given.collect()
     expected = []
     for a in asked.collect():
-        known = [g for g in facts if g.k == a.k and g["at"] <= a["at"]]
+        known = [g for g in facts if g.k == a.k is not None and a["at"] and g["at"]
+                 and g["at"] <= a["at"]]
         best = max(known, key=lambda g: (g["at"], g.g_id), default=None)
         expected.append((a.k, a["at"], a.id, best and best.g_id, best and best.x))
     assert found.columns == ["k", "at", "id", "g_id", "x"]
@@ -166,14 +167,18 @@ def test_asof(table, rows_per_split):
 @BOTH
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_counts_in_intervals(table, keys, rows_per_split):
+    # some empty, some with a null end
     intervals = table.where("id % 4 = 0").select(
-        "k", "id", (F.col("v") - 2).alias("low"), (F.col("v") + 3).alias("high"))
-    points = table.where("x is not null").select("k", F.col("x").alias("p"))
+        "k", "id", F.when(F.col("id") % 28 > 0, F.col("v") - 2).alias("low"),
+        F.when(F.col("id") % 36 > 0, F.col("v") + F.col("id") % 9 - 4).alias("high"))
+    points = table.select("k", F.col("x").alias("p"))
     found = count_in_intervals(intervals, points, keys, "id", "low", "high", "p", "n",
                                rows_per_split)
     pts = points.collect()
     expected = [
-        (i.id, sum(i.low <= p.p <= i.high and (not keys or p.k == i.k) for p in pts))
+        (i.id, sum(
+            None not in (i.low, p.p, i.high) and i.low <= p.p <= i.high
+            and (not keys or p.k == i.k is not None) for p in pts))
         for i in intervals.collect()
     ]
     assert listed(found) == sorted(expected, key=repr)
@@ -182,7 +187,7 @@ def test_counts_in_intervals(table, keys, rows_per_split):
 @BOTH
 def test_trailing_sums(table, rows_per_split):
     found = trailing_sums(in_time(table), ["k"], "at", F.expr("interval 3 hours"),
-                          {"n": F.lit(1), "s": F.coalesce("x", F.lit(0))}, rows_per_split)
+                          {"n": F.lit(1), "s": F.col("x")}, rows_per_split)
     rows = in_time(table).collect()
     expected = set()
     for r in rows:
