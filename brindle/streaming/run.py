@@ -1,7 +1,8 @@
 """Streams from a table's files to a written result.
 
-Results and progress go below the shared checkpoint folder, never to memory on
-the driver, so a stream can be as large as its table and can be started again.
+Results and progress go below one path, by default a new one in the shared
+checkpoint folder, and never to memory on the driver. A stream that is run again
+with the same path goes on after the files it has taken in.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ def read_stream(spark: SparkSession, folder: str, table: str, at: str, late_by:
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late_by)
 
 
-def _finish(spark: SparkSession, writer: DataStreamWriter) -> None:
+def _finish(spark: SparkSession, writer: DataStreamWriter, path: str) -> None:
     """Take in all the files there are, then stop."""
     unset = {k: v for k, v in STREAM_DEFAULTS.items() if k not in spark.conf.getAll}
     for key, value in unset.items():
         spark.conf.set(key, value)
     try:
-        query = (writer.option("checkpointLocation", scratch_path(spark, "progress"))
+        query = (writer.option("checkpointLocation", f"{path}/progress")
                  .trigger(availableNow=True).start())
     finally:  # the query keeps the settings it started with
         for key in unset:
@@ -40,21 +41,24 @@ def _finish(spark: SparkSession, writer: DataStreamWriter) -> None:
     query.awaitTermination()
 
 
-def run_append(result: DataFrame) -> DataFrame:
+def run_append(result: DataFrame, path: str | None = None) -> DataFrame:
     """Write each row once, when the watermark has closed its window; read it all back."""
     spark = result.sparkSession
-    path = scratch_path(spark, "appended")
-    _finish(spark, result.writeStream.outputMode("append").format("parquet").option("path", path))
-    return spark.read.schema(result.schema).parquet(path)
+    path = path or scratch_path(spark, "stream")
+    rows = f"{path}/rows"
+    _finish(spark, result.writeStream.outputMode("append").format("parquet").option("path", rows),
+            path)
+    return spark.read.schema(result.schema).parquet(rows)
 
 
-def run_complete(result: DataFrame) -> DataFrame:
+def run_complete(result: DataFrame, path: str | None = None) -> DataFrame:
     """Write the whole result after each batch, over the one before; read the last back."""
     spark = result.sparkSession
-    path = scratch_path(spark, "complete")
+    path = path or scratch_path(spark, "stream")
+    rows = f"{path}/rows"
 
     def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(rows)
 
-    _finish(spark, result.writeStream.outputMode("complete").foreachBatch(replace))
-    return spark.read.schema(result.schema).parquet(path)
+    _finish(spark, result.writeStream.outputMode("complete").foreachBatch(replace), path)
+    return spark.read.schema(result.schema).parquet(rows)

@@ -29,12 +29,12 @@ def minutes(n: float) -> dt.datetime:
     return START + dt.timedelta(minutes=n)
 
 
-def write_files(folder, files: list[list[float]]) -> str:
+def write_files(folder, files: list[list[float]], start: int = 0) -> str:
     """One file for each list of event minutes, taken in this order."""
     target = folder / "events.parquet"
-    target.mkdir()
+    target.mkdir(exist_ok=True)
     ids = iter(range(10**6))
-    for i, times in enumerate(files):
+    for i, times in enumerate(files, start):
         path = target / f"part-{i}.parquet"
         pq.write_table(pa.table({
             "event_id": pa.array([next(ids) for _ in times], pa.int64()),
@@ -79,6 +79,24 @@ def test_complete_mode_keeps_the_last_result(spark, tmp_path):
         minutes(0): 3, minutes(60): 2}
 
 
+@pytest.mark.parametrize("run, first, second", [
+    (run_append, {0: 2}, {0: 2, 60: 2}),
+    (run_complete, {0: 2, 60: 1}, {0: 2, 60: 2, 180: 1}),
+])
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path, run, first, second):
+    path = str(tmp_path / "kept")
+
+    def counts() -> dict:
+        stream = read_stream(spark, str(tmp_path), "events", "ts", "10 minutes")
+        found = run(tumbling_counts(stream, "ts", "event_type", "1 hour"), path)
+        return {r.window_start: r.n for r in found.collect()}
+
+    write_files(tmp_path, [[1, 2, 75]])
+    assert counts() == {minutes(m): n for m, n in first.items()}
+    write_files(tmp_path, [[80, 190]], start=1)
+    assert counts() == {minutes(m): n for m, n in second.items()}
+
+
 def test_window_functions_work_on_tables_too(spark, small):
     events = Tables(spark, small).events
     found = tumbling_counts(events, "ts", "event_type", "1 hour")
