@@ -12,20 +12,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.ordered import hot_groups, matching, split_size, written
+from brindle.operators.ordered import hot_groups, split_size, written
 
+# A cell of two hot sides makes up to the square of its rows in pairs, so it is smaller
+# than a split by this factor: 100,000 rows a side for the usual split.
+CELLS_PER_SPLIT = 50
+# Cuts are rows of a key and a number; beyond this many, Spark chooses the join.
+BROADCAST_ROWS = 200_000
 
-def _with_cuts(df: DataFrame, left_cuts: DataFrame, right_cuts: DataFrame,
-               keys: Sequence[str]) -> DataFrame:
-    df = matching(df, left_cuts, keys, "left")
-    df = matching(df, right_cuts, keys, "left")
-    return df.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_left_cuts", "_right_cuts")})
+
+def _cuts(side: DataFrame, keys: Sequence[str], rows: int, name: str) -> DataFrame:
+    """In how many parts the rows of each hot key are cut."""
+    parts = F.ceil(F.col("_rows") / rows).alias(name)
+    found = written(hot_groups(side.dropna(subset=list(keys)), keys, rows).select(*keys, parts))
+    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
 
 
 def _cut(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
     """A row gets one part of its own side's cuts and goes to all of the other side's."""
     return (
-        df.withColumn(f"{own}_cell", F.pmod(F.xxhash64(row_id), F.col(f"{own}_cuts")))
+        df.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_left_cuts", "_right_cuts")})
+        .withColumn(f"{own}_cell", F.pmod(F.xxhash64(row_id), F.col(f"{own}_cuts")))
         .withColumn(f"{other}_cell", F.explode(F.sequence(
             F.lit(0).cast("bigint"), F.col(f"{other}_cuts") - 1)))
         .drop("_left_cuts", "_right_cuts")
@@ -33,31 +40,33 @@ def _cut(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
 
 
 def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str,
-              right_id: str, rows_per_split: int | None = None) -> DataFrame:
+              right_id: str, rows_per_cell: int | None = None) -> DataFrame:
     """Inner equi-join in which a key may be hot on either side or both.
 
-    A key with more than ``rows_per_split`` rows on a side is cut in that many
+    A key with more than ``rows_per_cell`` rows on a side is cut in that many
     parts by the row's id, and the other side's rows of this key go to every
     part. Two hot sides make a grid, each cell of which is a task's worth.
     Other keys take the join unchanged.
     """
-    rows_per_split = rows_per_split or split_size(left.sparkSession)
-    left_cuts, right_cuts = (
-        written(hot_groups(side.dropna(subset=list(keys)), keys, rows_per_split).select(
-            *keys, F.ceil(F.col("_rows") / rows_per_split).alias(name)))
-        for side, name in ((left, "_left_cuts"), (right, "_right_cuts"))
-    )
+    rows = rows_per_cell or max(1, split_size(left.sparkSession) // CELLS_PER_SPLIT)
+    left_cuts = _cuts(left, keys, rows, "_left_cuts")
+    right_cuts = _cuts(right, keys, rows, "_right_cuts")
     if left_cuts.isEmpty() and right_cuts.isEmpty():
         return left.join(right, list(keys))
-    left = _cut(_with_cuts(left, left_cuts, right_cuts, keys), left_id, "_left", "_right")
-    right = _cut(_with_cuts(right, left_cuts, right_cuts, keys), right_id, "_right", "_left")
-    return left.join(right, [*keys, "_left_cell", "_right_cell"]).drop(
-        "_left_cell", "_right_cell")
+
+    def cut(side: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
+        known = side.join(left_cuts, list(keys), "left").join(right_cuts, list(keys), "left")
+        return _cut(known, row_id, own, other)
+
+    cells = [*keys, "_left_cell", "_right_cell"]
+    return (cut(left, left_id, "_left", "_right")
+            .join(cut(right, right_id, "_right", "_left"), cells)
+            .drop("_left_cell", "_right_cell"))
 
 
 def band_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
               interval_id: str, low: str, high: str, point_id: str, point: str,
-              width: float, rows_per_split: int | None = None) -> DataFrame:
+              width: float, rows_per_cell: int | None = None) -> DataFrame:
     """Pairs of an interval and a point of its key inside it, both ends included.
 
     The axis is cut in buckets of ``width``, best about an interval's length: an
@@ -71,7 +80,7 @@ def band_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
         "_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
     placed = points.withColumn("_bucket", bucket(point))
     return (
-        grid_join(reached, placed, [*keys, "_bucket"], interval_id, point_id, rows_per_split)
+        grid_join(reached, placed, [*keys, "_bucket"], interval_id, point_id, rows_per_cell)
         .where(F.col(point).between(F.col(low), F.col(high)))
         .drop("_bucket")
     )

@@ -87,7 +87,8 @@ def customer_purchases_full(t: Tables) -> DataFrame:
     # Adaptive execution cannot split a full outer join, so each side has one row a key.
     bought = (
         t.events.where(F.col("event_type") == "purchase").groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("n_events"), money(exact_sum(hundredths("value"), 2)).alias("total"))
+        .agg(F.count(F.lit(1)).alias("n_events"),
+             money(exact_sum(hundredths("value"), 2)).alias("total"))
     )
     # the shift gives both sides keys the other lacks
     return t.customer.select("c_custkey", "c_name").join(

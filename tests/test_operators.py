@@ -237,6 +237,13 @@ def test_grid_join_with_both_sides_hot(table, rows_per_split):
     assert listed(found.select("k", "a", "b")) == listed(left.join(right, "k"))
 
 
+def test_grid_join_without_broadcast(table, monkeypatch):
+    monkeypatch.setattr("brindle.operators.joins.BROADCAST_ROWS", 0)
+    left = table.select("k", F.col("id").alias("a"))
+    found = grid_join(left, left.withColumnRenamed("a", "b"), ["k"], "a", "b", SPLIT)
+    assert found.count() == left.join(left, "k").count()
+
+
 @BOTH
 def test_totals(table, rows_per_split):
     found = with_totals(table, ["k"], {"s": F.sum("x"), "n": F.count("x")}, rows_per_split)
