@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import byte_bpe, licenses, packing, sharding
+from brindle.llm import (
+    byte_bpe,
+    chat,
+    jaccard,
+    language,
+    licenses,
+    packing,
+    prefix_forest,
+    quality_classifier,
+    quality_rules,
+    sharding,
+)
+from brindle.llm.texts import id_remainder
 from brindle.sources import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +31,17 @@ def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
     return build
 
 
+@query
+def op1_nearest_centroid_language(t: Tables) -> DataFrame:
+    held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
+    model = language.train(t.documents, "doc_id", "text", "lang",
+                           learnable=id_remainder("doc_id", 3) != 1)
+    docs = t.documents.select("doc_id", held_out.alias("held_out"), "text")
+    # the nearest language for every text with a letter; `rejected` tells which are far off
+    return language.identify(docs, "text", model).select(
+        "doc_id", "held_out", F.col("lang_nearest").alias("lang_pred"), "score", "rejected")
+
+
 @query
 def op2_vector_packing(t: Tables) -> DataFrame:
     limits = packing.Limits(tokens=2048, segments=64, loss=2047)
@@ -37,6 +60,42 @@ def op3_chunked_byte_bpe(t: Tables) -> DataFrame:
     ).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op4_divergence_rules(t: Tables) -> DataFrame:
+    return quality_rules.apply_rules(
+        t.documents.select("doc_id", "text", "lang"), "text", "lang").drop("text", "lang")
+
+
+@query
+def op5_chosen_path_join(t: Tables) -> DataFrame:
+    return jaccard.jaccard_join(t.documents, "doc_id", "text")
+
+
+@query
+def op6_chat_grammar(t: Tables) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = t.spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], t.conversations.schema)
+    formatted = chat.format_turns(t.conversations.unionByName(extra), "role", "text")
+    return chat.read_back(formatted, "conv_id", "turn", "role", "text")
+
+
+@query
+def op7_prefix_forest_search(t: Tables) -> DataFrame:
+    return prefix_forest.search(t.embeddings, "vec_id", "embedding", F.col("vec_id") % 20 == 0,
+                                k=20)
+
+
+@query
+def op8_nb_svm_quality(t: Tables) -> DataFrame:
+    model = quality_classifier.train(t.documents, t.labels, "doc_id", "text", "quality",
+                                     learnable=id_remainder("doc_id", 5) != 0)
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    docs = t.documents.select("doc_id", held_out.alias("held_out"), "text")
+    return quality_classifier.score_texts(docs, "text", model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op9_prefix_sum_shards(t: Tables) -> DataFrame:
     return sharding.byte_shards(t.documents, "doc_id", "text", shards=24).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,27 +11,30 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def with_fields(df: DataFrame, text: str, schema: str,
-                rows: Callable[[Iterable[str | None]], Iterable[tuple]]) -> DataFrame:
-    """``df`` with the fields of ``schema`` that ``rows`` makes of each text.
+def with_fields(df: DataFrame, inputs: str | Sequence[str], schema: str,
+                rows: Callable[[Iterable], Iterable[tuple]]) -> DataFrame:
+    """``df`` with the fields of ``schema`` that ``rows`` makes of each row's inputs.
 
-    ``rows`` gets the texts of an Arrow batch one by one and gives a tuple for
-    each. A column of ``df`` that is named like a field is replaced by it; all
-    others stay as they are.
+    ``rows`` gets the values of an Arrow batch one by one (tuples, for several
+    columns) and gives a tuple for each. A column of ``df`` that is named like a field
+    is replaced by it; all others stay as they are.
     """
     wanted: StructType = _parse_datatype_string(schema)
     fields = [(f.name, to_arrow_type(f.dataType)) for f in wanted]
+    single = isinstance(inputs, str)
 
     @F.arrow_udf(wanted)
-    def made(texts: pa.Array) -> pa.Array:
-        columns = list(zip(*rows(t.as_py() for t in texts))) or [()] * len(fields)
+    def made(*columns: pa.Array) -> pa.Array:
+        values = zip(*((v.as_py() for v in c) for c in columns))
+        found = list(zip(*rows((v for v, in values) if single else values)))
         return pa.StructArray.from_arrays(
-            [pa.array(c, kind) for c, (_, kind) in zip(columns, fields)],
+            [pa.array(c, kind) for c, (_, kind) in zip(found or [()] * len(fields), fields)],
             names=[n for n, _ in fields])
 
     box = free_name(df, "_made")
     kept = [c for c in df.columns if c not in {n for n, _ in fields}]
-    return (df.withColumn(box, made(F.col(quoted(text))))
+    return (df.withColumn(box, made(*[
+        F.col(quoted(c)) for c in ([inputs] if single else inputs)]))
             .select(*[quoted(c) for c in kept],
                     *[F.col(f"{box}.{quoted(n)}").alias(n) for n, _ in fields]))
 

@@ -1,0 +1,136 @@
+"""Packing: limits, gapless sequences, every id in one piece, and little padding."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from brindle.llm.packing import Limits, Words, pack, pack_vectors, token_pieces
+from brindle.llm.queries import QUERIES
+from brindle.sources import Tables
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(PATH)
+TOKENIZER.encode_special_tokens = True
+
+
+def ids_of(text):
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def check_sequences(rows, limits):
+    """Rows: sequence_id, offset, tokens, loss."""
+    sequences = defaultdict(list)
+    for sequence, offset, tokens, loss in rows:
+        sequences[sequence].append((offset, tokens, loss))
+    for members in sequences.values():
+        at = 0
+        for offset, tokens, _ in sorted(members):
+            assert offset == at
+            at += tokens
+        assert at <= limits.tokens and len(members) <= limits.segments
+        assert sum(m[2] for m in members) <= limits.loss
+    return sequences
+
+
+def test_words_are_encoded_as_by_the_tokenizer():
+    rng, words = random.Random(1), Words(PATH)
+    alphabet = [*"abAB 'sé  \n\t\x1c\x1fΣσς́İıß你1²½ \x85\xa0\0ª", "<|endoftext|>", "Don'LL ", "the. "]
+    texts = [None, "", "a" * 3000, *("".join(rng.choices(alphabet, k=rng.randint(0, 25)))
+                                     for _ in range(3000))]
+    found, bounds = words.ids(pa.array(texts, pa.string()))
+    for text, begin, end in zip(texts, bounds[:-1], bounds[1:]):
+        assert found[begin:end].tolist() == ids_of(text)[:-1], text
+
+
+def test_vectors_take_the_largest_dot_product():
+    """Against the same choice made by looking at each example."""
+    rng = random.Random(2)
+    for _ in range(30):
+        limits = Limits(rng.randint(20, 60), rng.randint(1, 5), rng.randint(5, 30))
+        items = [(t := rng.randint(0, 20), min(t, rng.randint(0, 5))) for _ in range(40)]
+        left, plain = list(range(40)), []
+        while left:
+            free, members = [limits.tokens, limits.segments, limits.loss], []
+            while free[1]:
+                fits = [(items[i][0] * free[0] / limits.tokens ** 2
+                         + items[i][1] * free[2] / limits.loss ** 2, items[i], -i) for i in left
+                        if items[i][0] <= free[0] and items[i][1] <= free[2]]
+                if not fits:
+                    break
+                i = -max(fits)[2]
+                left.remove(i)
+                members.append(i)
+                free = [free[0] - items[i][0], free[1] - 1, free[2] - items[i][1]]
+            plain.append([items[i] for i in members])
+        packed = pack_vectors(np.array([i[0] for i in items]), np.array([i[1] for i in items]),
+                              limits)
+        assert sorted(i for s in packed for i in s) == list(range(40))
+        assert [[items[i] for i in s] for s in packed] == plain
+
+
+def test_limits_bind_and_too_large_examples_are_refused():
+    limits = Limits(100, 3, 10)
+    assert len(pack_vectors(np.full(9, 5), np.zeros(9, int), limits)) == 3
+    assert len(pack_vectors(np.full(4, 5), np.full(4, 9), limits)) == 4
+    with pytest.raises(ValueError):
+        pack_vectors(np.array([101]), np.array([0]), limits)
+
+
+def test_instruction_examples(spark):
+    rng = random.Random(4)
+    rows = [(i, t := rng.randint(1, 300), min(t, rng.randint(0, 80))) for i in range(2000)]
+    rows += [(5, 10, 3)] * 500 + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "id long, tokens int, loss int").repartition(3)
+    df = df.withColumn("offset", F.lit("own"))
+    limits = Limits(1000, 8, 200)
+    for block in (100, 100_000):
+        found = pack(df, "tokens", "loss", limits, block).collect()
+        assert sorted(((r.id, r.tokens, r.loss) for r in found), key=repr) == sorted(rows, key=repr)
+        check_sequences([(r.sequence_id, r.offset, r.tokens or 0, r.loss or 0) for r in found],
+                        limits)
+    assert pack(df.limit(0), "tokens", "loss", limits).count() == 0
+
+
+def pieces_are_whole(rows, texts):
+    by_doc = defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+    assert set(by_doc) == set(texts)
+    for doc_id, text in texts.items():
+        ids = ids_of(text)
+        at = 0
+        for r in sorted(by_doc[doc_id], key=lambda r: r.start):
+            part = np.array(ids[r.start:r.start + r.length], dtype="<u4").tobytes()
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(part))
+            at += r.length
+        assert at == len(ids)
+
+
+def test_pieces_of_odd_texts(spark, documents):
+    texts = {1: None, 2: "", 3: "word " * 5000, 4: "\x1c a\0b", None: "x", 6: "é" * 2047}
+    df = documents(list(texts.items()))
+    rows = token_pieces(df, "doc_id", "text", PATH, 1, 100, with_ids=True).collect()
+    pieces_are_whole(rows, texts)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and r.loss == r.length - 1 for r in rows)
+    twice = token_pieces(df.union(df), "doc_id", "text", PATH, 1, 100)
+    assert twice.count() == 2 * len(rows)
+    assert token_pieces(documents([]), "doc_id", "text", PATH, 1, 100).count() == 0
+
+
+def test_the_query_on_a_whole_table(spark, medium):
+    texts = {r.doc_id: r.text for r in Tables(spark, medium).documents.collect()}
+    rows = QUERIES["op2_vector_packing"](spark, medium).collect()
+    pieces_are_whole(rows, texts)
+    sequences = check_sequences([(r.sequence_id, r.offset, r.length, r.length - 1) for r in rows],
+                                Limits(2048, 64, 2047))
+    tokens = sum(r.length for r in rows)
+    assert 1 - tokens / (2048 * len(sequences)) < 0.02
