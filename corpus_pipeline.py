@@ -6,13 +6,50 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import packing
+from brindle.llm import jaccard, packing, quality_classifier, quality_rules
+from brindle.llm.texts import free_name, id_remainder, quoted
 from brindle.session import scratch_path
+from brindle.sources import Tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Documents that score lower are rejected.
+QUALITY = 0.3
+
+
+def _boxed(docs: DataFrame, *inputs: str) -> DataFrame:
+    """The rows whole, beside what an operator reads: no column is hidden by a result's."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"), *inputs)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    tables = Tables(spark, sf_dir)
+    model = quality_classifier.train(tables.documents, tables.labels, "doc_id", "text", "quality",
+                                     learnable=id_remainder("doc_id", 5) != 0)
+    scored = quality_classifier.score_texts(_boxed(docs, "text"), "text", model)
+    return scored.where(F.col("score") >= QUALITY).select("doc.*")
+
+
+def keep_usual(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    judged = quality_rules.apply_rules(_boxed(docs, "text", "lang"), "text", "lang")
+    return judged.where("kept").select("doc.*")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the first row in the table."""
+    # rows are told apart by their place in the table, as ids may be null or repeated
+    row = free_name(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    joined = jaccard.jaccard_join(numbered.select(row, "text"), row, "text")
+    dropped = joined.where(F.col(row) != F.col("class_id")).select(row)
+    return numbered.join(dropped, row, "left_anti").drop(row)
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces, placed in sequences."""
     limits = packing.Limits(tokens=2048, segments=64, loss=2047)
@@ -23,6 +60,9 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_good),
+    ("quality rules", keep_usual),
+    ("n-gram Jaccard join", keep_one_of_each),
     ("packing", pack_documents),
 ]
 
