@@ -119,8 +119,8 @@ def encode_texts(df: DataFrame, text: str, ranks: str, pattern: str,
     an empty one: no ids. Repeated rows stay repeated. Columns named like a result
     are replaced by it.
     """
-    if not BLIND < overlap < chunk:
-        raise ValueError("the overlap must be longer than BLIND and shorter than a chunk")
+    if not BLIND < overlap <= chunk // 2:
+        raise ValueError("the overlap must be longer than BLIND and at most half a chunk")
     schema = FIELDS + (", ids array<int>" if with_ids else "")
 
     def digest(known: Codec, ids: list[int]) -> tuple:

@@ -35,13 +35,11 @@ def ngram_counts(text: str) -> np.ndarray | None:
     letter = _letters()[points]
     if not letter.any():
         return None
-    c = np.where(letter, points, 32)
+    # one space before, between and after words
     kept = letter.copy()
+    kept[0] = True
     kept[1:] |= letter[:-1]
-    kept[:-1] |= letter[1:]
-    # one space between two words
-    kept[1:] &= letter[1:] | letter[:-1] | ~kept[:-1]
-    c = c[kept].astype(np.uint32)
+    c = np.where(letter, points, 32)[kept].astype(np.uint32)
     one = c * np.uint32(0x9E3779B1)
     two = one[:-1] * np.uint32(0x85EBCA77) + c[1:] * np.uint32(0xC2B2AE3D)
     three = two[:-1] * np.uint32(0x27D4EB2F) + c[2:] * np.uint32(0x165667B1)

@@ -39,10 +39,10 @@ class Rules:
     compared; ``min_reference`` are the words that a language's reference needs.
     """
 
-    class_limit: float = 0.2
-    word_limit: float = 0.55
+    class_limit: float = 0.25
+    word_limit: float = 0.5
     min_chars: int = 200
-    min_words: int = 50
+    min_words: int = 60
     min_reference: int = 2000
 
 

@@ -72,8 +72,9 @@ def test_distance():
 
 
 def test_class_distances_and_guards(spark, documents):
-    words = ["the", "of", "and", "Some.", "more,", "text"]
     rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=5)) + rng.choice(["", "", ",", "."])
+             for _ in range(60)]
     rows = [(i, " ".join(rng.choices(words, k=100))) for i in range(60)]
     rows += [(100, "&%$ " * 100), (101, "short one"), (102, None), (103, ""), (None, rows[0][1]),
              (5, rows[5][1]), (104, "the " * 60, None), (105, "wenig Text", "de")]
