@@ -33,7 +33,7 @@ KEPT_WORDS, KEPT_CORES = 300_000, 500_000
 #: White space for Arrow but not for the tokenizer, and the mark between words.
 _APART = "[\x00\x1c-\x1f]"
 #: Characters whose words are encoded together, and words that a Python worker keeps.
-TOGETHER, KEPT_WORDS = 16_000_000, 600_000
+TOGETHER, KEPT_WORDS = 8_000_000, 250_000
 
 
 @dataclass(frozen=True)
