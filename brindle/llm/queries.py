@@ -24,6 +24,8 @@ from brindle.llm.texts import id_remainder
 from brindle.sources import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: The same in DuckDB's SQL, for those that SQL can express.
+SQL: dict[str, str] = {}
 
 
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -31,6 +33,60 @@ def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]
     return build
 
 
+# sha256 of what was said, and the length of marks, texts and backslashes
+SQL["op6_chat_grammar"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17
+                      ELSE 23 + length(role) END
+         + length(text)
+         + len(regexp_extract_all(text, '\[/?INST\]|</?s>|<</?SYS>>|\[/?ROLE\]|\[TEXT\]'))
+         + coalesce(list_sum(list_transform(regexp_extract_all(text, '\\+[\[<]?'),
+                                            lambda x: length(x) - 1)), 0) AS chars
+  FROM said)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+         AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+         AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+# crc32 by its table of 256 steps, then running sums in the order of the shards
+SQL["op9_prefix_sum_shards"] = """
+WITH step AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384)
+                                                   ELSE c // 2 END, i) AS c
+    FROM range(256) r(i))),
+sized AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 8 AS BIGINT) AS size,
+         CAST(xor(list_reduce(
+           list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                          lambda h: CAST('0x' || h AS BIGINT)),
+           lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)
+           AS BIGINT) AS text_crc32
+  FROM documents, step),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size
+                            ROWS UNBOUNDED PRECEDING) AS upto,
+         sum(size) OVER () AS total
+  FROM sized),
+cut AS (
+  SELECT *, CAST((2 * upto - size) * 24 // (2 * total) AS INT) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1
+         AS slot,
+       CAST(NULL AS INT) AS grown_shard
+FROM cut
+"""
+
+
 @query
 def op1_nearest_centroid_language(t: Tables) -> DataFrame:
     held_out = F.coalesce(id_remainder("doc_id", 3) == 1, F.lit(False))
