@@ -1,7 +1,8 @@
 """Streaming queries over the events.
 
 In append mode a window is given out once the watermark, here ten minutes
-behind the latest event, has passed its end. The SQL leaves the same windows out.
+behind the latest event, has passed its end. The SQL leaves the same windows out. It
+holds for files in the order of their events; see ``brindle.streaming.run`` for late rows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from brindle.plans.registry import Plans
 from brindle.sources import Tables
+from brindle.streaming.run import FILES_PER_TRIGGER
 from brindle.streaming import (
     hopping_counts,
     read_stream,
@@ -23,7 +25,7 @@ plans = Plans()
 
 
 def _events(t: Tables) -> DataFrame:
-    return read_stream(t.spark, t.folder, "events", "ts", "10 minutes")
+    return read_stream(t.spark, t.folder, "events", "ts", "10 minutes", FILES_PER_TRIGGER)
 
 
 @plans("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 
 from brindle import session
 from brindle.sources import SCHEMAS, Tables
+from oracle import connect, differences
+from brindle.plans import ALL
 from brindle.streaming import (
+    forget,
     read_stream,
     run_append,
     run_complete,
@@ -97,6 +101,48 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path, run, first, second):
     assert counts() == {minutes(m): n for m, n in second.items()}
 
 
+@pytest.mark.parametrize("name", sorted(n for n in ALL if n.startswith("stream_")))
+def test_registered_streams_over_several_files_in_order(spark, small, tmp_path, name, monkeypatch):
+    """With a batch for each file there are no late rows, and the SQL holds."""
+    monkeypatch.setattr("brindle.plans.streams.FILES_PER_TRIGGER", 1)
+    events = pq.read_table(f"{small}/events.parquet").sort_by("ts")
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i in range(4):
+        path = folder / f"part-{i}.parquet"
+        pq.write_table(events.slice(i * 250, 250), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    for table in SCHEMAS:
+        if table != "events":
+            os.symlink(f"{small}/{table}.parquet", tmp_path / f"{table}.parquet")
+    found = ALL[name].build(Tables(spark, str(tmp_path)))
+    assert differences(found, connect(str(tmp_path)), ALL[name].sql) == []
+
+
+def test_two_streams_at_once_and_settings_stay_as_they_were(spark, tmp_path):
+    folder = write_files(tmp_path, [[1, 2, 75], [80, 190]])
+    before = dict(spark.conf.getAll)
+
+    def run(i: int) -> int:
+        stream = read_stream(spark, folder, "events", "ts", "10 minutes")
+        path = str(tmp_path / f"run-{i}")
+        return run_append(tumbling_counts(stream, "ts", "event_type", "1 hour"), path).count()
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, range(2))) == [2, 2]
+    assert dict(spark.conf.getAll) == before
+
+
+def test_a_run_can_be_forgotten(spark, tmp_path):
+    folder = write_files(tmp_path, [[1]])
+    path = str(tmp_path / "kept")
+    stream = read_stream(spark, folder, "events", "ts", "10 minutes")
+    run_complete(tumbling_counts(stream, "ts", "event_type", "1 hour"), path)
+    assert os.path.isdir(path)
+    forget(spark, path)
+    assert not os.path.exists(path)
+
+
 def test_window_functions_work_on_tables_too(spark, small):
     events = Tables(spark, small).events
     found = tumbling_counts(events, "ts", "event_type", "1 hour")
