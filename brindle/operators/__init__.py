@@ -1,6 +1,6 @@
-from brindle.operators.grouped import intersection, with_totals
+from brindle.operators.grouped import intersection, surplus, with_totals
 from brindle.operators.joins import band_join, grid_join
-from brindle.operators.ordered import ROWS_PER_SPLIT_SETTING, OrderedGroups
+from brindle.operators.ordered import ROWS_PER_SPLIT_SETTING, Frame, OrderedGroups
 from brindle.operators.ranking import exact_quantiles, largest_per_group, rank_rows
 from brindle.operators.timeline import (
     asof_join,
@@ -11,6 +11,7 @@ from brindle.operators.timeline import (
 
 __all__ = [
     "ROWS_PER_SPLIT_SETTING",
+    "Frame",
     "OrderedGroups",
     "asof_join",
     "band_join",
@@ -21,6 +22,7 @@ __all__ = [
     "largest_per_group",
     "rank_rows",
     "sessions",
+    "surplus",
     "trailing_sums",
     "with_totals",
 ]

@@ -15,7 +15,8 @@ def with_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column],
     """Each row with aggregates over its whole group, such as ``F.sum("x")``.
 
     The rows of a hot group are not moved: the totals of hot groups, of which
-    there are at most rows / rows_per_split, are sent to them.
+    there are at most rows / rows_per_split, are sent to them. Totals of doubles depend in
+    their last digits on the order of addition.
     """
     groups = written(hot_groups(df, keys, rows_per_split or split_size(df.sparkSession)))
     whole = Window.partitionBy(*keys)
@@ -26,7 +27,8 @@ def with_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column],
     if groups.isEmpty():
         return windowed(df)
     hot = matching(df, groups.select(*keys), keys, "left_semi")
-    hot_totals = hot.groupBy(*keys).agg(*[total.alias(n) for n, total in totals.items()])
+    hot_totals = written(
+        hot.groupBy(*keys).agg(*[total.alias(n) for n, total in totals.items()]))
     return windowed(matching(df, groups, keys, "left_anti")).unionByName(
         matching(hot, hot_totals, keys, "inner"))
 
@@ -40,3 +42,25 @@ def intersection(left: DataFrame, right: DataFrame) -> DataFrame:
     sides = left.withColumn("_side", F.lit(1)).union(right.withColumn("_side", F.lit(2)))
     return (sides.groupBy(*left.columns).agg(F.bit_or("_side").alias("_sides"))
             .where(F.col("_sides") == 3).drop("_sides"))
+
+
+def surplus(left: DataFrame, right: DataFrame, copies_per_row: int = 10_000) -> DataFrame:
+    """The rows of ``left`` beyond as many equal rows of ``right``, nulls being equal.
+
+    Equal rows are counted in the map tasks. What is left of a row is written out in two
+    steps, first as chunks of ``copies_per_row`` copies, which are dealt out anew, so that the
+    copies of a hot row are made by many tasks, and no count is too large for one.
+    """
+    both = left.withColumn("_sign", F.lit(1)).union(right.withColumn("_sign", F.lit(-1)))
+    left_over = both.groupBy(*left.columns).agg(F.sum("_sign").alias("_n")).where("_n > 0")
+    chunks = F.expr(f"sequence(0L, (_n - 1) div {copies_per_row})")
+    # a given number: by the size of the chunks' rows Spark would join the partitions again
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        left_over.withColumn("_chunk", F.explode(chunks))
+        .repartition(parts, *left.columns, "_chunk")
+        .withColumn("_size", F.least(
+            F.lit(copies_per_row).cast("bigint"), F.col("_n") - F.col("_chunk") * copies_per_row))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_size"))))
+        .select(*left.columns)
+    )

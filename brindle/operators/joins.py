@@ -12,20 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.ordered import hot_groups, split_size, written
+from brindle.operators.ordered import broadcast_if_small, hot_groups, split_size, written
 
 # A cell of two hot sides makes up to the square of its rows in pairs, so it is smaller
 # than a split by this factor: 100,000 rows a side for the usual split.
 CELLS_PER_SPLIT = 50
-# Cuts are rows of a key and a number; beyond this many, Spark chooses the join.
-BROADCAST_ROWS = 200_000
+# An interval may touch so many buckets.
+MOST_BUCKETS = 1000
 
 
 def _cuts(side: DataFrame, keys: Sequence[str], rows: int, name: str) -> DataFrame:
     """In how many parts the rows of each hot key are cut."""
     parts = F.ceil(F.col("_rows") / rows).alias(name)
-    found = written(hot_groups(side.dropna(subset=list(keys)), keys, rows).select(*keys, parts))
-    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    return broadcast_if_small(
+        written(hot_groups(side.dropna(subset=list(keys)), keys, rows).select(*keys, parts)))
 
 
 def _cut(df: DataFrame, row_id: str, own: str, other: str) -> DataFrame:
@@ -71,13 +71,17 @@ def band_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
 
     The axis is cut in buckets of ``width``, best about an interval's length: an
     interval goes to each bucket it touches and meets only the points of those,
-    by equi-join. Use ``count_in_intervals`` where the pairs are only counted.
+    by equi-join. Use ``count_in_intervals`` where the pairs are only counted. An interval
+    that touches more than MOST_BUCKETS buckets ends the job with an error: make ``width``
+    larger.
     """
     def bucket(column: str) -> Column:
         return F.floor(F.col(column) / width)
 
-    reached = intervals.withColumn(
-        "_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    touched = F.when(
+        bucket(high) - bucket(low) < MOST_BUCKETS, F.sequence(bucket(low), bucket(high))
+    ).otherwise(F.raise_error(F.lit("band_join: an interval is too wide for this width")))
+    reached = intervals.where(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(touched))
     placed = points.withColumn("_bucket", bucket(point))
     return (
         grid_join(reached, placed, [*keys, "_bucket"], interval_id, point_id, rows_per_cell)

@@ -10,13 +10,15 @@ split.
 
 Hot groups are found by a count, so nothing is assumed about the data, and
 every row is kept. There are at most rows / rows_per_split hot groups, and about
-twice as many splits at most; only tables of that size are broadcast.
+twice as many splits at most. Tables of that size are broadcast if a count finds them
+small, and joined as Spark chooses if not.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -27,9 +29,15 @@ from brindle.session import checkpoint_folder
 ROWS_PER_SPLIT = 5_000_000
 ROWS_PER_SPLIT_SETTING = "spark.brindle.rowsPerSplit"
 
+# How many rows away a frame may look, in groups whose splits are shorter.
+FARTHEST = 100_000
+# What is sent to all executors at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
+
 _ALL = "_all_rows"
 _SPLIT = "_split"
 _POS = "_position"
+_OWN = {_ALL, _SPLIT, _POS, "_rows", "_page", "_at_page"}
 
 _AGGREGATE = {
     "count": F.count,
@@ -55,6 +63,29 @@ _OF_A_ROW = {"first", "previous"}
 Aggregate = tuple[str, str | Column]
 
 
+@dataclass(frozen=True)
+class Frame:
+    """A window column that looks at most ``before`` / ``after`` rows away."""
+
+    before: int
+    after: int
+    over: Callable[[WindowSpec], Column]
+
+    @classmethod
+    def lag(cls, value: str | Column, rows: int = 1) -> Frame:
+        """The value so many rows before."""
+        return cls(max(rows, 0), max(-rows, 0), lambda w: F.lag(value, rows).over(w))
+
+    @classmethod
+    def lead(cls, value: str | Column, rows: int = 1) -> Frame:
+        return cls.lag(value, -rows)
+
+    @classmethod
+    def rows(cls, aggregate: Column, start: int, end: int) -> Frame:
+        """The aggregate over the rows from ``start`` to ``end``; 0 is the current one."""
+        return cls(max(-start, 0), max(end, 0), lambda w: aggregate.over(w.rowsBetween(start, end)))
+
+
 def _boxed(value: Column) -> Column:
     return F.struct(value.alias("it"))
 
@@ -90,13 +121,29 @@ def split_size(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_SPLIT_SETTING, str(ROWS_PER_SPLIT)))
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, a table that is written already, with a hint if its rows and bytes are few.
+
+    Beyond that Spark chooses the join, as for any table.
+    """
+    rows = df.count()
+    if rows == 0:
+        return F.broadcast(df)
+    if rows > BROADCAST_ROWS:
+        return df
+    # as text, which is no shorter than most values are in memory
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def matching(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join a table of proven small size on keys that may be null; keeps ``df``'s keys."""
+    """Join a written table of a row per key, by keys that may be null; keeps ``df``'s keys."""
+    other = broadcast_if_small(other)
     renamed = other.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return df.join(F.broadcast(renamed), same, how).drop(*[f"_r_{k}" for k in keys])
+    return df.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -135,6 +182,9 @@ class OrderedGroups:
         hot there, none is in ``df``.
         """
         keys, order = list(keys), list(order)
+        taken = [c for c in df.columns if c in _OWN or c.startswith(("_here_", "_carry_"))]
+        if taken:
+            raise ValueError(f"rename these columns, which are used here: {taken}")
         rows_per_split = rows_per_split or split_size(df.sparkSession)
         if not keys:
             df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
@@ -189,7 +239,8 @@ class OrderedGroups:
 
         ``name=(how, column)``, where ``how`` is count, sum, min, max, first (null
         if the first row's is), previous (of the row before) or last (the last
-        value that is not null).
+        value that is not null). Sums of whole numbers and decimals are exact; a sum of
+        doubles depends in its last digits on how a hot group is split.
         """
         aggregates = _columns(aggregates)
         ordered = Window.partitionBy(*self._keys).orderBy(*self._order)
@@ -198,16 +249,19 @@ class OrderedGroups:
             n: c["it"] if aggregates[n][0] in _OF_A_ROW else c for n, c in columns.items()})
         return self._with(cold, self._running_hot(aggregates) if self.is_split else None)
 
-    def frame(self, before: int = 0, after: int = 0,
-              **columns: Callable[[WindowSpec], Column]) -> OrderedGroups:
-        """Add window columns that look at most ``before`` / ``after`` rows away.
+    def frame(self, **columns: Frame) -> OrderedGroups:
+        """Add window columns of bounded reach.
 
-        Each column is a function of the ordered window. For a hot group the
-        window runs over pages of known length, each with the few rows of its
-        neighbours that the frame reaches.
+        For a hot group the windows run over pages of known length, each with the few
+        rows of its neighbours that the frames reach. A frame that reaches farther than a
+        split and than FARTHEST is refused, as a page would be more than a task's worth.
         """
+        before = max(f.before for f in columns.values())
+        after = max(f.after for f in columns.values())
+        if max(before, after) > max(self._rows_per_split, FARTHEST):
+            raise ValueError("a frame reaches too far; take differences of running sums")
         window = Window.partitionBy(*self._keys).orderBy(*self._order)
-        cold = self._cold.withColumns({n: make(window) for n, make in columns.items()})
+        cold = self._cold.withColumns({n: f.over(window) for n, f in columns.items()})
         if not self.is_split:
             return self._with(cold, None)
 
@@ -224,12 +278,12 @@ class OrderedGroups:
             numbered = self._running_hot({_POS: ("count", F.lit(1))})
         paged = (
             numbered.withColumn("_page", F.floor((F.col(_POS) - 1) / length))
-            .withColumn("_at", F.explode(F.array_compact(wanted_by)))
+            .withColumn("_at_page", F.explode(F.array_compact(wanted_by)))
         )
-        page = Window.partitionBy(*self._keys, "_at").orderBy(_POS)
-        hot = (paged.withColumns({n: make(page) for n, make in columns.items()})
-               .where(F.col("_at") == F.col("_page"))
-               .drop("_at", "_page"))
+        page = Window.partitionBy(*self._keys, "_at_page").orderBy(_POS)
+        hot = (paged.withColumns({n: f.over(page) for n, f in columns.items()})
+               .where(F.col("_at_page") == F.col("_page"))
+               .drop("_at_page", "_page"))
         return self._with(cold, hot)
 
     def total(self, **aggregates: Aggregate) -> OrderedGroups:

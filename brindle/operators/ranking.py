@@ -16,7 +16,8 @@ def rank_rows(df: DataFrame, keys: Sequence[str], by: str, unique: str,
 
     ``unique`` tells rows with equal ``by`` apart. Every measure follows from the
     row's position, the position at which its value starts, and the group's
-    size, which are all known for a hot group too.
+    size, which are all known for a hot group too. Whole numbers are bigint, as a group
+    may have more rows than an int counts.
     """
     groups = (
         OrderedGroups.of(df, keys, [by, unique], rows_per_split)
@@ -38,11 +39,8 @@ def rank_rows(df: DataFrame, keys: Sequence[str], by: str, unique: str,
         extra + F.floor((zero_based - in_large) / F.greatest(small, F.lit(1))))
     percent = F.when(F.col("_n") > 1, (F.col("rank") - 1) / (F.col("_n") - 1)).otherwise(0.0)
     return ranked.withColumns({
-        "tile": (tile + 1).cast("int"),
+        "tile": (tile + 1).cast("bigint"),
         "percent_rank": percent,
-        "row_num": F.col("row_num").cast("int"),
-        "rank": F.col("rank").cast("int"),
-        "dense_rank": F.col("dense_rank").cast("int"),
     }).drop("_n", "_prev", "_start")
 
 

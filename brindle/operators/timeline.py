@@ -11,6 +11,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    MapType,
+    StringType,
+    StructType,
+    VariantType,
+)
 
 from brindle.operators.ordered import OrderedGroups
 
@@ -21,27 +29,39 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str,
     """Each left row with the latest right row of its key at or before its ``on``.
 
     Both sides carry ``keys`` and ``on``. Where several right rows share an
-    instant, the one with the greatest ``right_id`` is taken. Left rows without
-    a match keep null ``right_columns``; null keys and instants match nothing.
+    instant, the one with the greatest ``right_id``, which is unique, is taken. Left
+    rows without a match keep null ``right_columns``; null keys and instants match nothing.
+    Only the id and right columns of fixed width go along the axis; others, such as
+    texts, are fetched by the id.
     """
     kept = [c for c in left.columns if c not in {*keys, on}]
+    wide = [c for c in right_columns
+            if isinstance(right.schema[c].dataType, (StringType, BinaryType, ArrayType, MapType,
+                                                     StructType, VariantType))]
+    slim = [c for c in right_columns if c not in wide]
     asked = left.select(
         *keys, on, F.lit(1).alias("_asks"), F.col(left_id).alias("_tie"),
         F.struct(*kept).alias("_left"),
     )
     given = right.dropna(subset=[*keys, on]).select(
         *keys, on, F.lit(0).alias("_asks"), F.col(right_id).alias("_tie"),
-        F.struct(*right_columns).alias("_right"),
+        F.struct(*slim, F.col(right_id).alias("_right_id")).alias("_right"),
     )
     axis = asked.unionByName(given, allowMissingColumns=True)
-    return (
+    matched = (
         OrderedGroups.of(axis, keys, [on, "_asks", "_tie"], rows_per_split)
         .running(_found=("last", "_right"))
         .rows()
         .where(F.col("_asks") == 1)
         .select(*keys, on, *[F.col(f"_left.{c}").alias(c) for c in kept],
-                *[F.col(f"_found.{c}").alias(c) for c in right_columns])
+                *[F.col(f"_found.{c}").alias(c) for c in slim],
+                F.col("_found._right_id").alias("_right_id"))
     )
+    if wide:
+        fetched = right.dropna(subset=[*keys, on]).select(
+            F.col(right_id).alias("_right_id"), *wide)
+        matched = matched.join(fetched, "_right_id", "left")
+    return matched.select(*keys, on, *kept, *right_columns)
 
 
 def count_in_intervals(intervals: DataFrame, points: DataFrame, keys: Sequence[str],

@@ -114,12 +114,16 @@ SELECT user_id,
        CAST(sum(CASE WHEN event_type = 'error' THEN 1 END) AS BIGINT) AS error,
        CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 END) AS BIGINT) AS purchase,
        CAST(sum(CASE WHEN event_type = 'signup' THEN 1 END) AS BIGINT) AS signup,
-       CAST(sum(CASE WHEN event_type = 'view' THEN 1 END) AS BIGINT) AS view
+       CAST(sum(CASE WHEN event_type = 'view' THEN 1 END) AS BIGINT) AS view,
+       CAST(sum(CASE WHEN event_type NOT IN ('click', 'error', 'purchase', 'signup', 'view')
+                       OR event_type IS NULL THEN 1 END) AS BIGINT) AS other
 FROM events GROUP BY user_id
 """)
 def events_pivot(t: Tables) -> DataFrame:
-    # Given values spare Spark the extra pass that finds them.
-    return t.events.groupBy("user_id").pivot("event_type", EVENT_TYPES).count()
+    # Given values spare Spark the extra pass that finds them; all else is counted as other.
+    kind = F.when(F.col("event_type").isin(EVENT_TYPES), F.col("event_type")).otherwise("other")
+    return (t.events.select("user_id", kind.alias("kind"))
+            .groupBy("user_id").pivot("kind", [*EVENT_TYPES, "other"]).count())
 
 
 @plans("""

@@ -57,21 +57,23 @@ def order_dates(t: Tables) -> DataFrame:
 
 
 @plans("""
-SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n
+SELECT TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n
 FROM events GROUP BY k
 """)
 def event_property_counts(t: Tables) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int").alias("k")
+    # what is no number counts as null and ends no job
+    k = F.get_json_object("props", "$.k").try_cast("int").alias("k")
     return t.events.groupBy(k).agg(F.count(F.lit(1)).alias("n"))
 
 
 @plans("""
-SELECT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, count(*) AS n_pages,
+SELECT nullif(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '') AS host, count(*) AS n_pages,
        CAST(sum(length(html)) AS BIGINT) AS chars
 FROM pages GROUP BY host
 """)
 def pages_by_host(t: Tables) -> DataFrame:
-    return t.pages.groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(
+    # a bad URL has a null host and ends no job
+    return t.pages.groupBy(F.try_parse_url("url", F.lit("HOST")).alias("host")).agg(
         F.count(F.lit(1)).alias("n_pages"), F.sum(F.length("html")).alias("chars"))
 
 

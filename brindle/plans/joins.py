@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import discounted, exact_sum, hundredths, money
-from brindle.operators import asof_join, band_join, count_in_intervals, with_totals
+from brindle.operators import asof_join, count_in_intervals, with_totals
 from brindle.plans.registry import Plans
 from brindle.sources import Tables
 
@@ -27,11 +27,12 @@ def regional_revenue(t: Tables) -> DataFrame:
     nations = t.nation.join(t.region.where(F.col("r_name") == "ASIA"),
                             F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
     buyers = t.customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    sellers = t.supplier.join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
     orders = t.orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "n_nationkey", "n_name")
     return (
         t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.supplier, (F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(sellers, (F.col("l_suppkey") == F.col("s_suppkey"))
               & (F.col("s_nationkey") == F.col("n_nationkey")))
         .groupBy("n_name").agg(money(exact_sum(discounted(), 4)).alias("revenue"))
     )
@@ -97,19 +98,29 @@ def customer_purchases_full(t: Tables) -> DataFrame:
 
 @plans("""
 SELECT s_suppkey, c_custkey, round(abs(c_acctbal - s_acctbal), 2) AS gap
-FROM supplier JOIN customer
-  ON c_nationkey = s_nationkey
- AND c_acctbal BETWEEN s_acctbal - 250 AND s_acctbal + 250
+FROM (SELECT s_suppkey, s_acctbal, c_custkey, c_acctbal,
+             row_number() OVER (PARTITION BY s_suppkey
+                                ORDER BY c_acctbal DESC, c_custkey DESC) AS place
+      FROM supplier JOIN customer
+        ON c_nationkey = s_nationkey
+       AND c_acctbal BETWEEN s_acctbal - 250 AND s_acctbal + 250)
+WHERE place = 1
 """)
 def balance_band_pairs(t: Tables) -> DataFrame:
-    bands = t.supplier.select(
-        "s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"),
-        (F.col("s_acctbal") - 250).alias("low"), (F.col("s_acctbal") + 250).alias("high"))
-    balances = t.customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"))
-    return band_join(
-        bands, balances, ["nation"], "s_suppkey", "low", "high", "c_custkey", "c_acctbal", 500.0
-    ).select("s_suppkey", "c_custkey",
-             F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2).alias("gap"))
+    # Each supplier with the customer of its nation that is uppermost in its band: one
+    # ordered pass, and a row per supplier at most, whatever the bands hold.
+    sellers = t.supplier.select(F.col("s_nationkey").alias("nation"),
+                                (F.col("s_acctbal") + 250).alias("balance"),
+                                "s_suppkey", "s_acctbal")
+    buyers = t.customer.select(F.col("c_nationkey").alias("nation"),
+                               F.col("c_acctbal").alias("balance"), "c_custkey", "c_acctbal")
+    return (
+        asof_join(sellers, buyers, ["nation"], "balance", "s_suppkey",
+                  ["c_custkey", "c_acctbal"], "c_custkey")
+        .where(F.col("c_acctbal") >= F.col("s_acctbal") - 250)
+        .select("s_suppkey", "c_custkey",
+                F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 2).alias("gap"))
+    )
 
 
 @plans("""

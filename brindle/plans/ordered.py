@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import hundredths
 from brindle.operators import (
+    Frame,
     OrderedGroups,
     largest_per_group,
     rank_rows,
@@ -33,10 +34,9 @@ def event_neighbours(t: Tables) -> DataFrame:
         OrderedGroups.of(events, ["user_id"], ["ts", "event_id"])
         .running(first_type=("first", "event_type"))
         .frame(
-            before=2, after=1,
-            previous_type=lambda w: F.lag("event_type").over(w),
-            next_type=lambda w: F.lead("event_type").over(w),
-            ts_two_before=lambda w: F.lag("ts", 2).over(w),
+            previous_type=Frame.lag("event_type"),
+            next_type=Frame.lead("event_type"),
+            ts_two_before=Frame.lag("ts", 2),
         )
         .rows()
         .select("event_id", "user_id", "previous_type", "next_type", "first_type",
@@ -46,13 +46,12 @@ def event_neighbours(t: Tables) -> DataFrame:
 
 @plans("""
 SELECT o_orderkey, o_orderpriority,
-       CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)
-            AS INT) AS row_num,
-       CAST(rank() OVER w AS INT) AS rank,
-       CAST(dense_rank() OVER w AS INT) AS dense_rank,
+       row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)
+         AS row_num,
+       rank() OVER w AS rank,
+       dense_rank() OVER w AS dense_rank,
        percent_rank() OVER w AS percent_rank,
-       CAST(ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey)
-            AS INT) AS tile
+       ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS tile
 FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate)
 """)
 def order_date_ranks(t: Tables) -> DataFrame:
@@ -61,7 +60,7 @@ def order_date_ranks(t: Tables) -> DataFrame:
 
 
 @plans("""
-SELECT o_orderkey, CAST(rank() OVER (ORDER BY o_totalprice) AS INT) AS rank,
+SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice) AS rank,
        percent_rank() OVER (ORDER BY o_totalprice) AS percent_rank
 FROM orders
 """)
@@ -84,12 +83,12 @@ def moving_averages(t: Tables) -> DataFrame:
     return (
         OrderedGroups.of(events, ["user_id"], ["ts", "event_id"])
         .frame(
-            before=6,
-            mean_of_seven=lambda w: F.round(F.avg("value").over(w.rowsBetween(-6, 0)), 6),
-            max_of_seven=lambda w: F.max("value").over(w.rowsBetween(-6, 0)),
+            mean_of_seven=Frame.rows(F.avg("value"), -6, 0),
+            max_of_seven=Frame.rows(F.max("value"), -6, 0),
         )
         .rows()
-        .select("event_id", "user_id", "mean_of_seven", "max_of_seven")
+        .select("event_id", "user_id", F.round("mean_of_seven", 6).alias("mean_of_seven"),
+                "max_of_seven")
     )
 
 
@@ -186,10 +185,16 @@ GROUP BY ALL
 def conversation_pages(t: Tables) -> DataFrame:
     # An ordered array per page of turns: a conversation of any length is kept
     # whole, and no array grows with it.
-    placed = (
-        OrderedGroups.of(t.conversations, ["conv_id"], ["turn"])
+    # The turns are numbered without their texts, so that a split's size does not depend
+    # on them, and the texts come back by the unique pair.
+    turns = t.conversations.select("conv_id", "turn")
+    numbered = (
+        OrderedGroups.of(turns, ["conv_id"], ["turn"])
         .running(pos=("count", F.lit(1))).rows()
+        .withColumnsRenamed({"conv_id": "n_conv_id", "turn": "n_turn"})
     )
+    placed = t.conversations.join(numbered, F.col("conv_id").eqNullSafe(F.col("n_conv_id"))
+                                  & F.col("turn").eqNullSafe(F.col("n_turn")))
     said = F.struct("turn", F.concat_ws(": ", "role", "text").alias("said"))
     return (
         placed.groupBy("conv_id", F.floor((F.col("pos") - 1) / PAGE).alias("page"))

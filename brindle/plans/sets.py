@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators import intersection
+from brindle.operators import intersection, surplus
 from brindle.plans.registry import Plans
 from brindle.sources import Tables
 
@@ -38,7 +38,7 @@ EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'purchase'
 def views_beyond_purchases(t: Tables) -> DataFrame:
     def users(kind: str) -> DataFrame:
         return t.events.where(F.col("event_type") == kind).select(F.col("user_id").alias("key"))
-    return users("view").exceptAll(users("purchase"))
+    return surplus(users("view"), users("purchase"))
 
 
 @plans("""

@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.operators import (
+    Frame,
     OrderedGroups,
     asof_join,
     band_join,
@@ -23,6 +24,7 @@ from brindle.operators import (
     largest_per_group,
     rank_rows,
     sessions,
+    surplus,
     trailing_sums,
     with_totals,
 )
@@ -59,9 +61,8 @@ def test_running_frames_and_totals_equal_plain_windows(table, keys, rows_per_spl
         groups.running(n=("count", F.lit(1)), some=("count", "x"), s=("sum", "x"),
                        lo=("min", "x"), hi=("max", "x"), seen=("last", "x"),
                        opened=("first", "x"), prev=("previous", "x"))
-        .frame(before=9, after=8,
-               back=lambda w: F.lag("x", 9).over(w), ahead=lambda w: F.lead("x", 8).over(w),
-               near=lambda w: F.sum("x").over(w.rowsBetween(-3, 5)))
+        .frame(back=Frame.lag("x", 9), ahead=Frame.lead("x", 8),
+               near=Frame.rows(F.sum("x"), -3, 5))
         .total(most=("max", "x"), rows=("count", F.lit(1)))
         .rows()
     )
@@ -86,10 +87,10 @@ def test_running_frames_and_totals_equal_plain_windows(table, keys, rows_per_spl
 def test_steps_can_follow_each_other(table, rows_per_split):
     found = (
         OrderedGroups.of(table, ["k"], ["v", "id"], rows_per_split)
-        .frame(before=1, prev=lambda w: F.lag("v").over(w))
+        .frame(prev=Frame.lag("v"))
         .rowwise(lambda d: d.withColumn("new", F.when(~F.col("v").eqNullSafe(F.col("prev")), 1)))
         .running(block=("count", "new"))
-        .frame(before=2, prev_block=lambda w: F.lag("block", 2).over(w))
+        .frame(prev_block=Frame.lag("block", 2))
         .rowwise(lambda d: d.where(F.col("v") > 3))
         .rows().select("id", "block", "prev_block")
     )
@@ -102,6 +103,32 @@ def test_steps_can_follow_each_other(table, rows_per_split):
     assert listed(found) == listed(expected)
 
 
+def test_a_frame_knows_its_reach(spark):
+    rows = spark.range(60).select(F.lit(1).alias("k"), "id", (F.col("id") ** 2).alias("v"))
+    sums = [OrderedGroups.of(rows, ["k"], ["id"], size)
+            .frame(s=Frame.rows(F.sum("v"), -5, 0)).rows().agg(F.sum("s")).first()[0]
+            for size in (100, 10)]
+    assert sums[0] == sums[1]
+    with pytest.raises(ValueError, match="too far"):
+        OrderedGroups.of(rows, ["k"], ["id"], 10).frame(s=Frame.lag("v", 10 ** 6))
+
+
+def test_names_that_are_used_inside_are_refused(spark):
+    with pytest.raises(ValueError, match="_split"):
+        OrderedGroups.of(spark.range(1).withColumn("_split", F.lit(1)), [], ["id"])
+
+
+def test_small_tables_are_joined_alike_without_broadcast(table, monkeypatch):
+    def ranked():
+        return listed(rank_rows(table, ["k"], "v", "id", 4, SPLIT).select("id", "rank", "tile"))
+    with_hint = ranked()
+    monkeypatch.setattr("brindle.operators.ordered.BROADCAST_ROWS", 0)
+    assert ranked() == with_hint
+    monkeypatch.setattr("brindle.operators.ordered.BROADCAST_ROWS", 200_000)
+    monkeypatch.setattr("brindle.operators.ordered.BROADCAST_BYTES", 0)
+    assert ranked() == with_hint
+
+
 def test_no_rows(table):
     empty = table.where("id < 0")
     assert OrderedGroups.of(empty, ["k"], ["id"], SPLIT).running(n=("count", "id")).rows(
@@ -119,7 +146,8 @@ def test_ranks(table, rows_per_split, tiles):
         F.percent_rank().over(w).alias("percent_rank"), F.ntile(tiles).over(full).alias("tile"))
     found = rank_rows(table, ["k"], "v", "id", tiles, rows_per_split).select(expected.columns)
     assert listed(found) == listed(expected)
-    assert found.dtypes == expected.dtypes
+    # counts beyond 2^31 must fit
+    assert {t for n, t in found.dtypes if n not in ("id", "percent_rank")} == {"bigint"}
 
 
 @BOTH
@@ -162,6 +190,11 @@ def test_asof(table, rows_per_split):
         expected.append((a.k, a["at"], a.id, best and best.g_id, best and best.x))
     assert found.columns == ["k", "at", "id", "g_id", "x"]
     assert listed(found) == sorted(expected, key=repr)
+    # wide columns are not carried but fetched
+    named = given.withColumn("text", F.concat(F.lit("row "), F.col("g_id")))
+    found = asof_join(asked, named, ["k"], "at", "id", ["text", "x"], "g_id", rows_per_split)
+    assert listed(found) == sorted(
+        ((k, at, i, g and f"row {g}", x) for k, at, i, g, x in expected), key=repr)
 
 
 @BOTH
@@ -238,7 +271,7 @@ def test_grid_join_with_both_sides_hot(table, rows_per_split):
 
 
 def test_grid_join_without_broadcast(table, monkeypatch):
-    monkeypatch.setattr("brindle.operators.joins.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("brindle.operators.ordered.BROADCAST_ROWS", 0)
     left = table.select("k", F.col("id").alias("a"))
     found = grid_join(left, left.withColumnRenamed("a", "b"), ["k"], "a", "b", SPLIT)
     assert found.count() == left.join(left, "k").count()
@@ -257,6 +290,26 @@ def test_intersection_with_nulls_and_repeats(table):
     assert listed(intersection(left, right)) == listed(left.intersect(right))
 
 
+def test_surplus_with_nulls_and_repeats(table):
+    left, right = table.select("k", "g"), table.where("id > 90").select("k", "g")
+    wanted = listed(left.exceptAll(right))
+    assert wanted and listed(surplus(left, right)) == wanted
+    assert listed(surplus(left, right, copies_per_row=3)) == wanted
+    hot = left.sparkSession.range(100_000).select(F.lit(7).alias("k"), F.lit("x").alias("g"))
+    found = surplus(hot, right, copies_per_row=1000)
+    assert found.count() == 100_000
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+    assert "ReplicateRows" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_too_wide_an_interval_is_refused(spark):
+    wide = spark.createDataFrame([(1, 0.0, 1e9)], "i long, low double, high double").withColumn(
+        "g", F.lit(1))
+    points = spark.createDataFrame([(1, 1, 5.0)], "g int, p long, x double")
+    with pytest.raises(Exception, match="too wide"):
+        band_join(wide, points, ["g"], "i", "low", "high", "p", "x", 1.0).count()
+
+
 def test_brute_force_helper_agrees_with_a_sorted_search(table):
     # guards the interval test's own expectation on one key
     points = sorted(r.x for r in table.where("k = 1 and x is not null").collect())

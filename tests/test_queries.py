@@ -37,6 +37,6 @@ def test_entry_returns_rows(spark):
 
 
 def test_every_query_has_a_distinct_column_set(spark, small):
-    for name in SQL:
+    for name in sorted(QUERIES.keys() - contract.LLM.keys()):
         columns = QUERIES[name](spark, small).columns
         assert len(columns) == len(set(columns)), name
