@@ -34,7 +34,7 @@ from brindle.llm.texts import quoted
 from brindle.session import checkpoint_folder
 
 _U = np.uint64
-_KNOWN_WORDS = 300_000
+_KNOWN_WORDS = 50_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ class Join:
     similarity: float = 0.8
     recall: float = 0.99
     tokens: int = 64
-    bucket: int = 200
+    bucket: int = 400
     depth: int = 8
 
     @property
@@ -147,11 +147,11 @@ def _sets(join: Join):
 
 
 def _children(join: Join):
-    """From (class, signature, path) the paths of the children that the class follows."""
+    """From (class, signature, path, held) the paths of the children that the class follows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = _U(int(join.chosen * 2 ** 64))
         for batch in batches:
-            classes, signatures, paths = batch.columns
+            classes, signatures, paths, held = batch.columns
             tokens = _named(np.frombuffer(b"".join(signatures.to_pylist()), np.uint32)
                             .reshape(len(classes), -1))
             at = np.asarray(paths).astype(np.int64).view(_U)
@@ -160,8 +160,8 @@ def _children(join: Join):
             # the child is named by path and token, not by the hash that chose it
             child = mixed(at[row] * _U(0xD1342543DE82EF95) + tokens[row, which])
             yield pa.RecordBatch.from_arrays(
-                [classes.take(pa.array(row)), pa.array(child.view(np.int64))],
-                names=["class", "path"])
+                [classes.take(pa.array(row)), pa.array(child.view(np.int64)),
+                 held.take(pa.array(row))], names=["class", "path", "held"])
     return run
 
 
@@ -248,11 +248,15 @@ def _linked(join: Join):
             near = similar([members[k][2] for k in keys], join.similarity)
             root = _roots(len(keys), near)
             copies = np.array([members[k][0] for k in keys])
+            # pairs that have met in an earlier group are counted there
+            earlier = {g: at for at, g in enumerate(
+                {g for k in keys for g in members[k][1] if g < group})}
+            held = np.zeros((len(keys), len(earlier)), dtype=np.float32)
             for i, key in enumerate(keys):
-                first = [j for j in np.flatnonzero(near[i])
-                         if min(members[key][1] & members[keys[j]][1]) == group]
-                if near[i].any():
-                    out.append((key, int(copies[first].sum()), keys[root[i]]))
+                held[i, [earlier[g] for g in members[key][1] if g < group]] = 1
+            links = (near & (held @ held.T == 0)) @ copies
+            for i in np.flatnonzero(near.any(axis=1)):
+                out.append((keys[i], int(links[i]), keys[root[i]]))
             if len(out) > 10_000:
                 yield _rows(out)
                 out = []
@@ -267,14 +271,20 @@ def _linked(join: Join):
 
 
 def _buckets(classes: DataFrame, join: Join) -> DataFrame:
-    """Rows of path and class: the buckets of all runs that hold two classes or more."""
+    """Rows of path and class: the buckets of all runs that hold two classes or more.
+
+    A large node is split as long as that makes it smaller: one that still holds half of
+    what its parent held is mostly classes that are alike, and is compared in parts.
+    """
     slim = classes.select("class", "signature")
     roots = mixed(np.arange(1, join.runs + 1, dtype=_U)).view(np.int64).tolist()
-    nodes = slim.withColumn("path", F.explode(F.array(*[F.lit(r) for r in roots])))
+    nodes = (slim.withColumn("path", F.explode(F.array(*[F.lit(r) for r in roots])))
+             .withColumn("held", F.lit(classes.count()).cast("bigint")))
     found = None
     for depth in range(1, join.depth + 1):
         # a class follows each path once; hot paths are summed up in the map tasks
-        records = nodes.mapInArrow(_children(join), "class binary, path long").checkpoint()
+        records = nodes.mapInArrow(
+            _children(join), "class binary, path long, held long").checkpoint()
         held = records.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         records = records.join(held, "path").checkpoint()
         small = records.where(F.col("n") <= join.bucket).select("path", "class")
@@ -282,10 +292,10 @@ def _buckets(classes: DataFrame, join: Join) -> DataFrame:
         large = records.where(F.col("n") > join.bucket)
         if large.isEmpty():
             return found
-        if depth == join.depth:
-            return found.unionByName(_in_parts(large, join))
-        nodes = large.select("class", "path").join(slim, "class").select(
-            "class", "signature", "path")
+        alike = (2 * F.col("n") >= F.col("held")) | F.lit(depth == join.depth)
+        found = found.unionByName(_in_parts(large.where(alike), join))
+        nodes = (large.where(~alike).select("class", "path", F.col("n").alias("held"))
+                 .join(slim, "class").select("class", "signature", "path", "held"))
     return found
 
 
