@@ -33,7 +33,7 @@ KEPT_WORDS, KEPT_CORES = 300_000, 500_000
 #: White space for Arrow but not for the tokenizer, and the mark between words.
 _APART = "[\x00\x1c-\x1f]"
 #: Characters whose words are encoded together, and words that a Python worker keeps.
-TOGETHER, KEPT_WORDS = 8_000_000, 250_000
+TOGETHER, KEPT_WORDS = 8_000_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -96,8 +96,15 @@ def pack(df: DataFrame, tokens: str, loss: str, limits: Limits, block: int = BLO
     named like a result are replaced. An empty table gives no sequences.
     """
     kept = df.drop("sequence_id", "offset")
-    t_at, l_at = kept.columns.index(tokens), kept.columns.index(loss)
+    run = _packer(kept.columns.index(tokens), kept.columns.index(loss), limits, block)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *PLACES]))
 
+
+PLACES = [StructField(n, LongType()) for n in ("sequence_id", "offset")]
+
+
+def _packer(t_at: int, l_at: int, limits: Limits, block: int):
+    """Packs batches whose columns at these places are tokens and loss."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         rows: pa.Table | None = None
@@ -136,8 +143,7 @@ def pack(df: DataFrame, tokens: str, loss: str, limits: Limits, block: int = BLO
         if rows is not None and rows.num_rows:
             yield from packed(rows, True)
 
-    added = [StructField(n, LongType()) for n in ("sequence_id", "offset")]
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *added]))
+    return run
 
 
 class Words:
@@ -242,6 +248,24 @@ def token_pieces(df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id:
     first. A null text is empty: its one id is ``end_id``. Whole texts are encoded,
     row by row; nothing is shuffled.
     """
+    source = df.select(quoted(doc_id), quoted(text))
+    schema = PIECES + (", ids binary" if with_ids else "")
+    return source.mapInArrow(_cutter(tokenizer, end_id, longest, with_ids), StructType(
+        [source.schema[0], *_parse_datatype_string(schema).fields]))
+
+
+def pack_texts(df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int,
+               limits: Limits, block: int = BLOCK) -> DataFrame:
+    """``pack`` of the ``token_pieces`` of texts, in one pass by one worker for each task."""
+    source = df.select(quoted(doc_id), quoted(text))
+    cut = _cutter(tokenizer, end_id, limits.tokens, False)
+    place = _packer(2, 3, limits, block)  # length and loss
+    return source.mapInArrow(lambda batches: place(cut(batches)), StructType(
+        [source.schema[0], *_parse_datatype_string(PIECES).fields, *PLACES]))
+
+
+def _cutter(tokenizer: str, end_id: int, longest: int, with_ids: bool):
+    """Makes pieces of batches of ids and texts."""
     closing = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,10 +293,7 @@ def token_pieces(df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id:
                  *([pa.array(parts, pa.binary())] if with_ids else [])],
                 names=[str(i) for i in range(6 + with_ids)])
 
-    source = df.select(quoted(doc_id), quoted(text))
-    schema = PIECES + (", ids binary" if with_ids else "")
-    return source.mapInArrow(run, StructType(
-        [source.schema[0], *_parse_datatype_string(schema).fields]))
+    return run
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

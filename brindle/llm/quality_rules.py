@@ -61,7 +61,7 @@ def class_of() -> np.ndarray:
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
         bucket = zlib.crc32(word) % WORD_BUCKETS
-        if len(self) < 200_000:
+        if len(self) < 50_000:
             self[word] = bucket
         return bucket
 

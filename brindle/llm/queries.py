@@ -100,11 +100,9 @@ def op1_nearest_centroid_language(t: Tables) -> DataFrame:
 
 @query
 def op2_vector_packing(t: Tables) -> DataFrame:
-    limits = packing.Limits(tokens=2048, segments=64, loss=2047)
-    pieces = packing.token_pieces(
+    return packing.pack_texts(
         t.documents, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=1,
-        longest=limits.tokens)
-    return packing.pack(pieces, "length", "loss", limits).select(
+        limits=packing.Limits(tokens=2048, segments=64, loss=2047)).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
