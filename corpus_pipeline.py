@@ -52,11 +52,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces, placed in sequences."""
-    limits = packing.Limits(tokens=2048, segments=64, loss=2047)
-    pieces = packing.token_pieces(docs, "doc_id", "text",
-                                  public_tokenizers.path("word_bpe_49k.json"), end_id=1,
-                                  longest=limits.tokens)
-    return packing.pack(pieces, "length", "loss", limits)
+    return packing.pack_texts(
+        docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=1,
+        limits=packing.Limits(tokens=2048, segments=64, loss=2047))
 
 
 STAGES: list[tuple[str, Stage]] = [
