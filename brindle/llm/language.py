@@ -15,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.texts import quoted, with_fields
+from brindle.llm.texts import least_hashed, quoted, with_fields
+from brindle.operators.ordered import broadcast_if_small, written
 
 SIZE = 1 << 13
 UNKNOWN = "und"
@@ -122,10 +123,9 @@ def train(docs: DataFrame, doc_id: str, text: str, lang: str, learnable: Column,
         F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text"),
         F.col(quoted(lang)).alias("lang")).dropna(subset=["text", "lang"])
     idf = inverse_frequencies(rows.select("text"))
-    hashed = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (rows.dropna(subset=["id"]).groupBy("lang", "id").agg(F.lit(1).alias("one"))
-              .withColumn("place", F.row_number().over(hashed))
-              .where(F.col("place") <= per_language).select("lang", "id"))
+    known = rows.dropna(subset=["id"]).select("lang", "id").distinct()
+    # broadcast if there are as few languages as there should be
+    chosen = broadcast_if_small(written(least_hashed(known, "lang", "id", per_language)))
     # one text of each chosen id, however often it comes
     sample = rows.join(chosen, ["lang", "id"]).groupBy("lang", "id").agg(
         F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.texts import quoted, with_fields
+from brindle.llm.texts import least_hashed, quoted, with_fields
 
 HASHED = 1 << 16
 SIZE = HASHED + 2
@@ -149,9 +149,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
                           & F.col(quoted(label)).isin(0, 1))
              .groupBy(F.col(quoted(doc_id)).alias("id"))
              .agg(F.min(quoted(label)).alias("good")))
-    hashed = Window.partitionBy("good").orderBy(F.xxhash64("id"), "id")
-    chosen = (known.withColumn("place", F.row_number().over(hashed))
-              .where(F.col("place") <= per_class).drop("place"))
+    chosen = least_hashed(known, "good", "id", per_class)
     texts = docs.select(F.col(quoted(doc_id)).alias("id"),
                         F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     # at most 2 * per_class rows of an id and a label

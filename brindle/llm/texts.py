@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from brindle.operators.ordered import broadcast_if_small, written
+
 
 def with_fields(df: DataFrame, inputs: str | Sequence[str], schema: str,
                 rows: Callable[[Iterable], Iterable[tuple]]) -> DataFrame:
@@ -54,3 +56,20 @@ def free_name(df: DataFrame, name: str) -> str:
 def id_remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(quoted(doc_id)).cast("string").cast("binary")) % modulus
+
+
+def least_hashed(df: DataFrame, group: str, unique: str, n: int) -> DataFrame:
+    """At most ``n`` rows of each group, those whose ``unique`` value has the least hash.
+
+    Groups are counted first, so that only rows with a chance are ordered: a few times ``n``
+    of each group, however large it is and from however many tasks.
+    """
+    hashed = F.shiftrightunsigned(F.xxhash64(unique), 33)  # 31 bits
+    # broadcast if there are few groups, so that no group's rows are gathered to be counted off
+    sizes = broadcast_if_small(written(df.groupBy(group).agg(F.count("*").alias("_size"))))
+    chance = F.least(F.lit(1.0), F.lit(3.0 * n + 100) / F.col("_size"))
+    some = (df.join(sizes, group).withColumn("_hashed", hashed)
+            .where(F.col("_hashed") < chance * 2 ** 31))
+    order = Window.partitionBy(group).orderBy("_hashed", unique)
+    return (some.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n)
+            .drop("_size", "_hashed", "_place"))

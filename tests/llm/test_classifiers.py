@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import language, quality_classifier
 from brindle.llm.queries import QUERIES
-from brindle.llm.texts import id_remainder
+from brindle.llm.texts import id_remainder, least_hashed
 from brindle.sources import Tables
 
 ODD = [(1, None), (2, ""), (3, " 123 !?"), (4, "x"), (None, "the and of"), (5, "word " * 50_000),
@@ -103,6 +103,16 @@ def test_quality_never_learns_from_held_out_labels(spark, documents):
     assert quality_classifier.score_texts(documents([]), "text", model).count() == 0
 
 
+def test_least_hashed_takes_the_same_rows_of_any_table(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 7 > 0).cast("int").alias("g"))
+    for n in (1, 10, 400, 10_000):
+        got = least_hashed(df.repartition(7), "g", "id", n).collect()
+        hashed = df.select("id", "g", F.shiftrightunsigned(F.xxhash64("id"), 33).alias("h"))
+        for g in (0, 1):
+            rows = sorted((r.h, r.id) for r in hashed.where(F.col("g") == g).collect())
+            assert sorted(r.id for r in got if r.g == g) == sorted(i for _, i in rows[:n])
+
+
 def test_descent_finds_the_hinge_loss_minimum():
     """Against many steps of subgradient descent on the primal."""
     rng = np.random.default_rng(3)
