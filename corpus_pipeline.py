@@ -44,7 +44,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near-duplicates: the first row in the table."""
     # rows are told apart by their place in the table, as ids may be null or repeated
     row = free_name(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    # written once: a file's splits, and so the numbers, may differ from job to job
+    path = scratch_path(spark, "numbered")
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.parquet(path)
     joined = jaccard.jaccard_join(numbered.select(row, "text"), row, "text")
     dropped = joined.where(F.col(row) != F.col("class_id")).select(row)
     return numbered.join(dropped, row, "left_anti").drop(row)

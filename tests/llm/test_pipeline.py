@@ -99,3 +99,29 @@ def test_odd_rows_go_through_each_stage(spark, medium):
         spark, docs.where("text is null or text = ''"), medium).count() == 2
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), medium).count() == 0
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, documents, tmp_path, monkeypatch):
+    """As when an executor is lost or added between the join and what follows."""
+    texts = [f"{i} " + " ".join(f"w{i}x{j}" for j in range(20 + i)) for i in range(60)]
+    rows = [(i, texts[i % 60]) for i in range(90)]
+    path = str(tmp_path / "docs")
+    documents(rows).repartition(6, "doc_id").write.parquet(path)
+    settings = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "0"}
+    join = corpus_pipeline.jaccard.jaccard_join
+
+    def moved(*args):
+        joined = join(*args)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        return joined
+
+    monkeypatch.setattr(corpus_pipeline.jaccard, "jaccard_join", moved)
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        kept = corpus_pipeline.keep_one_of_each(spark, spark.read.parquet(path), "").collect()
+    finally:
+        for key in [*settings, "spark.sql.files.maxPartitionBytes"]:
+            spark.conf.unset(key)
+    assert sorted(r.text for r in kept) == sorted(texts)
