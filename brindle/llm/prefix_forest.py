@@ -34,6 +34,8 @@ from brindle.session import checkpoint_folder
 
 #: Symbols of a string; each is one of 2 * AXES and takes BITS.
 SYMBOLS, AXES, BITS = 3, 64, 7
+#: Queries that are compared with a part of a block at once.
+SLICE = 256
 
 
 @dataclass(frozen=True)
@@ -144,7 +146,7 @@ def best_of(query: np.ndarray, query_id, vectors: np.ndarray, ids: np.ndarray,
 
 
 def _searcher(lengths: Sequence[int], k: int, dtype: str):
-    """Searches a part of a block for the queries that come to it, for each prefix length."""
+    """Searches a part of a block for a part of its queries, for each prefix length."""
     def search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(index) and len(queries):
@@ -160,12 +162,14 @@ def _searcher(lengths: Sequence[int], k: int, dtype: str):
                     if begin == end:
                         continue
                     at = np.flatnonzero(prefixes == prefix)
-                    near = q[at] @ x[begin:end].T
-                    for row, i in zip(near, at):
-                        query_id = queries["id"].iat[i]
-                        got, scores = best_of(q[i], query_id, x[begin:end], ids[begin:end], row, k)
-                        if len(got):
-                            found.append((query_id, length, got, scores))
+                    for some in np.split(at, range(SLICE, len(at), SLICE)):
+                        near = q[some] @ x[begin:end].T
+                        for row, i in zip(near, some):
+                            query_id = queries["id"].iat[i]
+                            got, scores = best_of(q[i], query_id, x[begin:end], ids[begin:end],
+                                                  row, k)
+                            if len(got):
+                                found.append((query_id, length, got, scores))
         return pd.DataFrame(found, columns=["query_id", "length", "ids", "scores"])
     return search
 
@@ -180,8 +184,9 @@ def search(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int,
     part. An id that comes twice is one candidate, by its nearer vector; as a query it
     keeps the best of both, and is never its own neighbour. An empty table gives no rows.
 
-    Index rows hold a vector each and are moved once for each step of the way up; a
-    block's rows bound a task, whatever share of them has the same string.
+    Index rows hold a vector each and are moved once for each step of the way up, and for
+    each part of their block's queries. A group of a task is a part of a block and a part of
+    its queries, of about ``rows_per_block`` rows each, whatever share has the same string.
     """
     spark = df.sparkSession
     checkpoint_folder(spark)
@@ -219,10 +224,17 @@ def search(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int,
     enough = min(k, most.n - 1)
     result, open_queries = None, queries
     for lengths in ([*range(SYMBOLS, 1, -1)], [1]):
-        asked = open_queries.join(parts, ["tree", "block"]).withColumn(
-            "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        hits = dealt.groupBy("tree", "block", "part").cogroup(
-            asked.groupBy("tree", "block", "part")).applyInPandas(
+        # queries of a block are dealt out too; each part of them meets each part of the block
+        asking = F.broadcast(open_queries.groupBy("tree", "block").agg(
+            F.ceil(F.count("*") / forest.rows_per_block).cast("int").alias("askings")))
+        asked = (open_queries.join(parts, ["tree", "block"]).join(asking, ["tree", "block"])
+                 .withColumn("asking", _part("askings"))
+                 .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                 .drop("parts", "askings"))
+        met = dealt.join(asking, ["tree", "block"]).withColumn(
+            "asking", F.explode(F.sequence(F.lit(0), F.col("askings") - 1))).drop("askings")
+        hits = met.groupBy("tree", "block", "part", "asking").cogroup(
+            asked.groupBy("tree", "block", "part", "asking")).applyInPandas(
             _searcher(lengths, k, dtype),
             f"query_id {id_type}, length int, ids array<{id_type}>, scores array<double>")
         best = _merged(hits, k).checkpoint()
@@ -244,21 +256,34 @@ def search(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int,
         if open_queries.isEmpty():
             return result.select("query_id", "rank", "vec_id", "score")
 
-    # Prefixes of length 0: all vectors, in blocks, for the queries that are left.
+    # Prefixes of length 0: all vectors, in blocks, for the queries that are left, in parts.
+    left = open_queries.where("tree = 0").select("id", "vector")
     blocks = math.ceil(most.n / forest.rows_per_block)
+    askings = math.ceil(left.count() / forest.rows_per_block)
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
     raw = F.lit(0).cast("bigint").alias("code")
     everything = own.select("id", "vector").mapInArrow(
         _plain(dtype), f"id {id_type}, vector binary").select(
-        "id", "vector", raw, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("part"))
-    asked = open_queries.where("tree = 0").select("id", "vector", raw, F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("part"))
-    hits = everything.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(
+        "id", "vector", raw, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part"),
+        each(askings).alias("asking"))
+    asked = left.select("id", "vector", raw, _part(F.lit(askings)).alias("asking"),
+                        each(blocks).alias("part"))
+    hits = everything.groupBy("part", "asking").cogroup(
+        asked.groupBy("part", "asking")).applyInPandas(
         _searcher([0], k, dtype),
         f"query_id {id_type}, length int, ids array<{id_type}>, scores array<double>")
     return result.unionByName(_merged(hits, k).drop("length")).select(
         "query_id", "rank", "vec_id", "score")
 
 
+def _part(parts: Column | str) -> Column:
+    """Which of so many parts a query is dealt to: an id that comes often is spread out."""
+    return F.pmod(F.xxhash64("id", "vector"), parts).cast("int")
+
+
 def _plain(dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

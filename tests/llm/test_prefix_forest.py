@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.llm import prefix_forest
 from brindle.llm.prefix_forest import Forest, search
 from brindle.llm.queries import QUERIES
 from brindle.sources import Tables
@@ -84,3 +85,28 @@ def test_recall_of_the_query(spark, medium):
     wanted = brute(vectors, [i for i in vectors if i % 20 == 0], 20)
     assert set(found) == set(wanted) and all(len(v) == 20 for v in found.values())
     assert recall(found, wanted) >= 0.9
+
+
+def test_queries_are_dealt_in_parts(spark, monkeypatch):
+    """All vectors ask; half are copies that share each string, the others go to the root."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1600, 24))
+    x[::2] = x[0] + rng.standard_normal((800, 24)) * 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>")
+    searcher = prefix_forest._searcher
+
+    def bounded(*args):
+        run = searcher(*args)
+
+        def checked(index, queries):
+            assert len(index) <= 200 and len(queries) <= 200, (len(index), len(queries))
+            return run(index, queries)
+        return checked
+
+    monkeypatch.setattr(prefix_forest, "_searcher", bounded)
+    found = rows_of(search(df, "vec_id", "embedding", F.lit(True), 5,
+                           Forest(trees=4, rows_per_block=100)))
+    wanted = brute({i: [v] for i, v in enumerate(x)}, range(1, 1600, 50), 5)
+    assert len(found) == 1600
+    assert recall({q: found[q] for q in wanted}, wanted) == 1
