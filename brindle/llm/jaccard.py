@@ -60,14 +60,27 @@ class Join:
 
     @property
     def runs(self) -> int:
-        """Runs until ``recall``, from how likely a shared path goes on for three steps.
+        """Runs until ``recall`` where all buckets are reached in three steps."""
+        return self.runs_to(3)
 
-        A pair at the threshold shares at each step a Poisson number of children of mean 1.
+    def runs_to(self, depth: int) -> int:
+        """Runs until ``recall`` for pairs that are met at a path of ``depth`` steps.
+
+        A pair shares at each step a Poisson number of children. Its mean is 1 for a pair at the
+        threshold whose signatures share as many tokens as is expected; how many they do
+        share is binomial, and the same in all runs.
         """
-        ends = 0.0
-        for _ in range(3):
-            ends = math.exp(ends - 1)
-        return math.ceil(math.log(1 - self.recall) / math.log(ends))
+        n, s = self.tokens, self.similarity
+        weights = [math.comb(n, k) * s ** k * (1 - s) ** (n - k) for k in range(n + 1)]
+        ends = [0.0] * (n + 1)
+        for _ in range(depth):
+            ends = [math.exp(k * self.chosen * (e - 1)) for k, e in enumerate(ends)]
+        runs = 1
+        while sum(w * e ** runs for w, e in zip(weights, ends)) > 1 - self.recall:
+            runs += 1
+            if runs > 1000:
+                raise ValueError("too few tokens for the wanted recall")
+        return runs
 
     @property
     def alike(self) -> int:
@@ -273,13 +286,27 @@ def _linked(join: Join):
 def _buckets(classes: DataFrame, join: Join) -> DataFrame:
     """Rows of path and class: the buckets of all runs that hold two classes or more.
 
+    The longer a path, the less likely a pair has followed all of it: there are as many runs
+    as the depth that was really reached asks for.
+    """
+    slim, n = classes.select("class", "signature"), classes.count()
+    found, done, reached = None, 0, 3
+    while done < (wanted := join.runs_to(reached)):
+        more, depth = _split(slim, n, range(done + 1, wanted + 1), join)
+        found = more if found is None else found.unionByName(more)
+        done, reached = wanted, max(reached, depth)
+    return found
+
+
+def _split(slim: DataFrame, n: int, runs: range, join: Join) -> tuple[DataFrame, int]:
+    """The buckets of these runs, and the steps of the longest path among them.
+
     A large node is split as long as that makes it smaller: one that still holds half of
     what its parent held is mostly classes that are alike, and is compared in parts.
     """
-    slim = classes.select("class", "signature")
-    roots = mixed(np.arange(1, join.runs + 1, dtype=_U)).view(np.int64).tolist()
+    roots = mixed(np.array(runs, dtype=_U)).view(np.int64).tolist()
     nodes = (slim.withColumn("path", F.explode(F.array(*[F.lit(r) for r in roots])))
-             .withColumn("held", F.lit(classes.count()).cast("bigint")))
+             .withColumn("held", F.lit(n).cast("bigint")))
     found = None
     for depth in range(1, join.depth + 1):
         # a class follows each path once; hot paths are summed up in the map tasks
@@ -291,12 +318,15 @@ def _buckets(classes: DataFrame, join: Join) -> DataFrame:
         found = small if found is None else found.unionByName(small)
         large = records.where(F.col("n") > join.bucket)
         if large.isEmpty():
-            return found
+            return found, depth
         alike = (2 * F.col("n") >= F.col("held")) | F.lit(depth == join.depth)
         found = found.unionByName(_in_parts(large.where(alike), join))
-        nodes = (large.where(~alike).select("class", "path", F.col("n").alias("held"))
+        rest = large.where(~alike)
+        if rest.isEmpty():
+            return found, depth
+        nodes = (rest.select("class", "path", F.col("n").alias("held"))
                  .join(slim, "class").select("class", "signature", "path", "held"))
-    return found
+    return found, join.depth
 
 
 def _in_parts(large: DataFrame, join: Join) -> DataFrame:

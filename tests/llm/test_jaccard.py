@@ -120,3 +120,28 @@ def test_the_query_on_a_whole_table(spark, medium):
 
 def test_recall_of_runs():
     assert 0.99 <= 1 - 0.627 ** Join().runs < 0.9999 and np.isclose(Join().chosen * 64 * 0.8, 1)
+
+
+def test_recall_on_long_paths(spark, documents):
+    """Texts of passages that a third of all share: pairs are met after five steps or more."""
+    rng = random.Random(8)
+    passages = [" ".join(f"p{i}x{j}" for j in range(60)) for i in range(60)]
+    rows, wanted = [], 0
+    for _ in range(500):
+        own = rng.sample(range(60), 22)
+        other = rng.choice([i for i in range(60) if i not in own])
+        for chosen in (own, own[1:] + [other]):
+            chosen = sorted(chosen)
+            text = " ".join(passages[i] for i in chosen)
+            # words of its own bring the similarity down to the threshold
+            text += " " + " ".join(f"u{len(rows)}x{j}" for j in range(85))
+            rows.append((len(rows), text))
+        sets = [shingles(t, 5) for _, t in rows[-2:]]
+        wanted += 2 * int(similar(sets, 0.8)[0, 1])
+    join = Join(bucket=4, recall=0.99)
+    assert wanted > 700
+    found = jaccard_join(documents(rows).repartition(4), "doc_id", "text", join).collect()
+    got = sum(r.n_links for r in found)
+    print("found", got, "of", wanted)
+    assert got >= 0.985 * wanted
+    assert join.runs_to(5) > 15 and join.runs_to(8) > 22
