@@ -110,3 +110,32 @@ def test_queries_are_dealt_in_parts(spark, monkeypatch):
     wanted = brute({i: [v] for i, v in enumerate(x)}, range(1, 1600, 50), 5)
     assert len(found) == 1600
     assert recall({q: found[q] for q in wanted}, wanted) == 1
+
+
+def test_recall_just_above_each_bound(spark):
+    """Queries with more candidates than k whose cosine has just passed a length's bound."""
+    rng = np.random.default_rng(6)
+    forest, size = Forest(), 128
+    rows, queries = [], {1: [], 2: [], 3: []}
+    for length in queries:
+        least = prefix_forest._least_cosine(forest.trees, forest.missed)[length]
+        for _ in range(20):
+            q = rng.standard_normal(size)
+            q /= np.linalg.norm(q)
+            queries[length].append(len(rows))
+            rows.append(q)
+            for cosine in least + rng.uniform(0.001, 0.004, 60):
+                v = rng.standard_normal(size)
+                v -= (v @ q) * q
+                rows.append(cosine * q + np.sqrt(1 - cosine ** 2) * v / np.linalg.norm(v))
+    x = np.array(rows)
+    asks = F.col("vec_id").isin([q for found in queries.values() for q in found])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>")
+    found = rows_of(search(df, "vec_id", "embedding", asks, 20, forest))
+    for length, at in queries.items():
+        near = x[at] @ x.T
+        near[np.arange(len(at)), at] = -2
+        wanted = {q: [(int(i), 0) for i in np.argsort(-row)[:20]] for q, row in zip(at, near)}
+        print("length", length, "recall", recall(found, wanted))
+        assert recall(found, wanted) >= 0.9, length
