@@ -159,6 +159,16 @@ def _sets(join: Join):
     return run
 
 
+def _keyed(join: Join):
+    """Rows of id and text with the class of the text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [class_key(shingles(text.as_py(), join.words)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())],
+                                             names=["id", "text", "class"])
+    return run
+
+
 def _children(join: Join):
     """From (class, signature, path, held) the paths of the children that the class follows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,9 +262,8 @@ def _linked(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group, rows in _grouped(batches):
-            # rows that repeat an id have the same class, or other words than the class
-            members = {key: (copies, set(groups), found) for key, copies, groups, text in rows
-                       if class_key(found := shingles(text, join.words)) == key}
+            members = {key: (copies, set(groups), shingles(text, join.words))
+                       for key, copies, groups, text in rows}
             keys = sorted(members)
             if len(keys) < 2:
                 continue
@@ -369,8 +378,9 @@ def jaccard_join(df: DataFrame, doc_id: str, text: str, join: Join = Join()) ->
 
     Copies are reduced to one class by a sum in the map tasks. Whatever is shared by many
     documents is a hot path, which is only counted, and is split further until it is small,
-    or compared in parts. Texts are moved once to be met by the classes that look alike, and
-    once for each of their groups.
+    or compared in parts. Texts are moved once to be met by the ids of classes that look alike;
+    those of such ids are reduced to one for each id and class, and moved once for each of its
+    groups.
     """
     checkpoint_folder(df.sparkSession)
     own = df.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text"))
@@ -386,7 +396,14 @@ def jaccard_join(df: DataFrame, doc_id: str, text: str, join: Join = Join()) ->
     member = groups.groupBy("class").agg(F.collect_set("group").alias("groups"))
     wanted = member.join(classes.select("class", "least", "copies"), "class").where(
         F.col("least").isNotNull())
-    texts = own.join(wanted, F.col("id") == F.col("least")).select(
+    # one text for each class: rows that repeat an id have the same one, or one of another class
+    wanted = wanted.withColumnRenamed("least", "id").checkpoint()
+    known = (own.join(wanted.select("id"), "id", "left_semi").select("id", "text")
+             .mapInArrow(_keyed(join), StructType(
+                 [id_field, *_parse_datatype_string("text string, class binary").fields]))
+             .where(F.col("class").isNotNull()).groupBy("id", "class")
+             .agg(F.min("text").alias("text")))
+    texts = known.join(wanted, ["id", "class"]).select(
         F.explode("groups").alias("group"), "class", "copies", "groups", "text")
     links = (texts.repartition("group").sortWithinPartitions("group")
              .mapInArrow(_linked(join), "class binary, links long, root binary").checkpoint())

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.llm import jaccard
 from brindle.llm.components import components
 from brindle.llm.jaccard import Join, jaccard_join, shingles, similar
 from brindle.llm.queries import QUERIES
@@ -145,3 +147,25 @@ def test_recall_on_long_paths(spark, documents):
     print("found", got, "of", wanted)
     assert got >= 0.985 * wanted
     assert join.runs_to(5) > 15 and join.runs_to(8) > 22
+
+
+def test_one_text_of_a_class_comes_to_a_group(spark, documents, monkeypatch):
+    """An id of very many rows, with one text and with many."""
+    rng = random.Random(9)
+    made = near_copies(rng, [f"w{i}" for i in range(200)], 20, 3)
+    rows = [(7, made[0])] * 200 + [(7, t) for t in made[1:]] + [(8, t) for t in made]
+    linked = jaccard._linked
+
+    def counted(join):
+        run = linked(join)
+
+        def checked(batches):
+            batches = list(batches)
+            seen = Counter(pair for b in batches for pair in zip(
+                b.column(0).to_pylist(), b.column(1).to_pylist()))
+            assert max(seen.values(), default=1) == 1, max(seen.values())
+            return run(iter(batches))
+        return checked
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    assert found(jaccard_join(documents(rows).repartition(4), "doc_id", "text")) == brute(rows)
