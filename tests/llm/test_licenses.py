@@ -108,3 +108,9 @@ def test_the_query_on_a_whole_table(spark, medium):
     for r in rows:
         assert tuple(r)[1:6] == base(texts[r.doc_id])
         assert r.labels == labels(texts[r.doc_id])
+
+
+def test_the_score_of_a_text_without_a_templates_longest_word():
+    text = "licensed under a Creative Commons Attribution 4.0 License"
+    assert scan(text)[-2:] == ("", 5 / 7)
+    check(text)
