@@ -6,6 +6,9 @@ is outside both is mandatory and has to be there word for word. A template is
 compiled once into an automaton over words; it is run from each place of a text
 where a mandatory first word stands, and a text is accepted for the template if
 a run reaches the end.
+
+Templates are excerpts and notices: a match says that their wording is there, and nothing of
+what the text says after it, as conditions that were changed or added.
 """
 
 from __future__ import annotations
