@@ -18,6 +18,7 @@ from brindle.llm import (
     prefix_forest,
     quality_classifier,
     quality_rules,
+    repair,
     sharding,
 )
 from brindle.llm.texts import id_remainder
@@ -86,6 +87,97 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM cut
 """
 
+# crc32 by its table of 256 steps; then a step for each turn, in which each state takes the least
+# (cost, audit, what was said) of those that lead to it
+SQL["op11_audit_repair"] = r"""
+WITH RECURSIVE step AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384)
+                                                   ELSE c // 2 END, i) AS c
+    FROM range(256) r(i))),
+told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(
+           list_transform(regexp_extract_all(hex(encode(
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))),
+             '..'), lambda h: CAST('0x' || h AS BIGINT)),
+           lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)
+           % 20 AS fate
+  FROM conversations, step),
+damaged AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END
+           AS text,
+         unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM told),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id
+                               ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text
+                            ORDER BY turn NULLS FIRST, copy) AS nth,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS core
+  FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN core = '' THEN 1 WHEN nth > 1 THEN 2
+                 WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1)
+           NOT IN ('su', 'ua', 'au') AS odd
+  FROM placed),
+heard AS (
+  SELECT conv_id, count(*) AS n,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (odd) AS illegal,
+         list({'r': left(role, 1), 'f': fault, 'role': role, 'text': text} ORDER BY i) AS turns
+  FROM judged GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, n, turns, 0 AS i, {'c': 0, 'a': '', 'o': CAST([] AS VARCHAR[])} AS s0,
+         {'c': 1000000, 'a': '', 'o': CAST([] AS VARCHAR[])} AS s1,
+         {'c': 1000000, 'a': '', 'o': CAST([] AS VARCHAR[])} AS s2,
+         {'c': 1000000, 'a': '', 'o': CAST([] AS VARCHAR[])} AS s3
+  FROM heard
+  UNION ALL
+  SELECT conv_id, n, turns, i + 1,
+         {'c': t0.c + 2, 'a': t0.a || 'D', 'o': t0.o},
+         list_min([{'c': t1.c + 2, 'a': t1.a || 'D', 'o': t1.o},
+                   {'c': t0.c + if(x.r = 's', k, 1000000), 'a': t0.a || 'K',
+                    'o': list_append(t0.o, x.role || ':' || x.text)}]),
+         list_min([{'c': t2.c + 2, 'a': t2.a || 'D', 'o': t2.o}]
+           || list_transform([t0, t1, t3], lambda t:
+                {'c': t.c + if(x.r = 'u', k, 1000000), 'a': t.a || 'K',
+                 'o': list_append(t.o, x.role || ':' || x.text)})
+           || list_transform([t0, t1, t3], lambda t:
+                {'c': t.c + k + 1, 'a': t.a || 'R', 'o': list_append(t.o, 'user:' || x.text)})),
+         list_min([{'c': t3.c + 2, 'a': t3.a || 'D', 'o': t3.o},
+                   {'c': t2.c + if(x.r = 'a', k, 1000000), 'a': t2.a || 'K',
+                    'o': list_append(t2.o, x.role || ':' || x.text)},
+                   {'c': t2.c + k + 1, 'a': t2.a || 'R',
+                    'o': list_append(t2.o, 'assistant:' || x.text)}])
+  FROM (
+    SELECT *, list_min([s3, {'c': t2.c + 5, 'a': t2.a || 'I',
+                             'o': list_append(t2.o, 'assistant:')}]) AS t3
+    FROM (
+      SELECT conv_id, n, turns, i, turns[i + 1] AS x,
+             CASE turns[i + 1].f WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000000 END AS k,
+             s0 AS t0, s1 AS t1, s3,
+             list_min([s2] || list_transform([s0, s1, s3], lambda s:
+               {'c': s.c + 5, 'a': s.a || 'I', 'o': list_append(s.o, 'user:')})) AS t2
+      FROM ways WHERE i < n))),
+best AS (
+  SELECT conv_id, list_min([s0, s3,
+    {'c': s2.c + 5, 'a': s2.a || 'I', 'o': list_append(s2.o, 'assistant:')},
+    {'c': s1.c + 10, 'a': s1.a || 'II', 'o': s1.o || ['user:', 'assistant:']}]) AS b
+  FROM ways WHERE i = n)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost,
+       coalesce(b.a, '') AS audit,
+       sha256(coalesce(array_to_string(b.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN heard h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 
 @query
 def op1_nearest_centroid_language(t: Tables) -> DataFrame:
@@ -160,3 +252,17 @@ def op9_prefix_sum_shards(t: Tables) -> DataFrame:
 @query
 def op10_license_templates(t: Tables) -> DataFrame:
     return licenses.scan_licenses(t.documents.select("doc_id", "text"), "text").drop("text")
+
+
+@query
+def op11_audit_repair(t: Tables) -> DataFrame:
+    names = ["conv_id", "turn", "role", "text"]
+    damaged = repair.damage(t.conversations, *names)
+    audits, turns = repair.repair(
+        damaged, "conv", "turn", "role", "text",
+        conversations=t.conversations.select(F.col("conv_id").alias("conv")))
+    said = repair.digests(turns).withColumnRenamed("conv", "conv_")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return audits.join(said, F.col("conv").eqNullSafe(F.col("conv_")), "left").select(
+        F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal",
+        "cost", "audit", F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))

@@ -1,0 +1,187 @@
+"""Repaired conversations against brute force over whole audits, and against SQL."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+from oracle import connect, differences
+
+from brindle.llm import repair
+from brindle.llm.queries import QUERIES, SQL
+from brindle.llm.repair import FOLLOWS, NEXT, Audits, Costs, Edits
+
+
+def cheapest(turns):
+    """Cost and audit by comparing whole audits: (initial, has to be deleted, truncated)."""
+    def inserted(ways):
+        ways = dict(ways)
+        for _ in range(4):
+            for state in list(ways):
+                cost, audit = ways[state]
+                way = (cost + 5, audit + "I")
+                ways[NEXT[state]] = min(way, ways.get(NEXT[state], way))
+        return ways
+
+    ways = {0: (0, "")}
+    for initial, deleted, truncated in turns:
+        new = {}
+        for state, (cost, audit) in inserted(ways).items():
+            found = [(state, cost + 2, "D")]
+            if not deleted:
+                more = 5 * truncated
+                if (state, initial) in FOLLOWS:
+                    found.append((FOLLOWS[state, initial], cost + more, "K"))
+                found.append((NEXT[state], cost + 1 + more, "R"))
+            for to, c, letter in found:
+                new[to] = min((c, audit + letter), new.get(to, (c, audit + letter)))
+        ways = new
+    return min(way for state, way in inserted(ways).items() if state in (0, 3))
+
+
+def some_turns(rng, most):
+    return [(rng.choice("suax"), rng.random() < .2, rng.random() < .2)
+            for _ in range(rng.randint(0, most))]
+
+
+@pytest.mark.parametrize("modulus", [2, 3, 7, 2 ** 61 - 1])
+def test_audits_also_where_hashes_collide(modulus):
+    rng = random.Random(modulus)
+    for _ in range(800):
+        turns = some_turns(rng, 12)
+        edits = Edits(0, Costs())
+        edits._audits = Audits(base=3, modulus=modulus)
+        for turn in turns:
+            edits.turn(*turn)
+        assert edits.best() == cheapest(turns)
+
+
+def test_segments_give_the_same_audit():
+    rng = random.Random(5)
+    for _ in range(500):
+        turns, whole = some_turns(rng, 14), Edits(0, Costs())
+        whole._audits = Audits(base=3, modulus=rng.choice([2, 3, 2 ** 61 - 1]))
+        at = 0
+        while at < len(turns):
+            size, found = rng.randint(1, 4), []
+            for start in range(4):
+                part = Edits(start, Costs())
+                for turn in turns[at:at + size]:
+                    part.turn(*turn)
+                found.append(part.found())
+            whole.segment([c for f in found for c in f[0]], [a for f in found for a in f[1]])
+            at += size
+        assert whole.best() == cheapest(turns)
+
+
+def test_nodes_compare_like_their_letters():
+    rng = random.Random(2)
+    audits, nodes = Audits(base=5, modulus=11), [(0, "", 0)]
+    for _ in range(400):
+        node, letters, depth = rng.choice(nodes)
+        step = "I" * rng.randint(0, 2) + rng.choice("DKR")
+        nodes.append((audits.add(node, step), letters + step, depth + 1))
+    for x, one, depth in nodes:
+        assert audits.letters(x) == one
+        for y, other, as_deep in nodes:
+            if depth == as_deep:
+                assert audits.compare(x, y) == (one > other) - (one < other)
+
+
+def plainly(rows, ids):
+    """The contract's columns by conversation, by loops over its damaged rows."""
+    told = defaultdict(list)
+    for conv, turn, role, text in rows:
+        told[conv].append((turn is not None, turn or 0, " " if role is None else role,
+                           " " if text is None else text))
+    found = {}
+    for conv in ids:
+        turns, seen, faults = sorted(told[conv]), set(), []
+        for _, _, role, text in turns:
+            core = text.rstrip(" \t\n\x0b\x0c\r")
+            faults.append("blank" if not core else "duplicate" if (role, text) in seen
+                          else "truncated" if core[-1] not in ".!?" else "")
+            seen.add((role, text))
+        known = [t for there, t, *_ in turns if there]
+        initials = [t[2][:1] for t in turns]
+        cost, audit = cheapest([(i, f in ("blank", "duplicate"), f == "truncated")
+                                for i, f in zip(initials, faults)])
+        said = [f"{role}:{text}" for edit, role, text in
+                repair.repaired([t[2:] for t in turns], audit) if edit != "D"]
+        found[conv] = (
+            max(known) - min(known) + 1 - len(set(known)) if known else 0,
+            *[faults.count(f) for f in repair.FAULTS],
+            sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])),
+            cost, audit, hashlib.sha256("\n".join(said).encode()).hexdigest())
+    return found
+
+
+def collected(spark, rows, schema="c long, t long, r string, x string", **options):
+    turns = spark.createDataFrame(rows, schema)
+    audits, edited = repair.repair(turns, *turns.columns[:4], **options)
+    digests = {r[0]: r[1] for r in repair.digests(edited).collect()}
+    nothing = hashlib.sha256().hexdigest()
+    return {r["conv"]: (r["gaps"], r["blank"], r["duplicate"], r["truncated"], r["illegal"],
+                        r["cost"], r["audit"], digests.get(r["conv"], nothing))
+            for r in audits.collect()}
+
+
+TEXTS = ["yes.", "no!", "well", "", " \t", "why? ", "Ah ", None, "a.\n", "é"]
+
+
+@pytest.mark.parametrize("segment", [3, 4096])
+def test_odd_rows_of_many_and_of_one_conversation(spark, segment):
+    rng = random.Random(segment)
+    roles = ["user", "assistant", "system", "tool", None, "", "sage"]
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(8)]),
+             rng.choice(roles[:3] if rng.random() < .8 else roles), rng.choice(TEXTS))
+            for _ in range(150)]
+    rows += [(9, t, "user" if t % 2 else "assistant", f"{t % 83}." if t % 7 else "open")
+             for t in range(400)]
+    rows += [(9, 3, "user", "yes.")] * 60
+    found = collected(spark, rows, segment=segment)
+    assert found == plainly(rows, {r[0] for r in rows})
+
+
+def test_no_rows_and_clashing_names(spark):
+    assert collected(spark, []) == {}
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "a.", 5, "x"), (1, 1, "assistant", "b.", 6, "y")],
+        "`conv.id` long, place long, fault string, edit string, turn long, `conv` string")
+    audits, edited = repair.repair(turns, "conv.id", "place", "fault", "edit")
+    assert [(r["conv"], r["audit"], r["cost"]) for r in audits.collect()] == [(1, "KK", 0)]
+    assert [tuple(r) for r in edited.collect()] == [
+        (1, "K", "user", "a."), (1, "K", "assistant", "b.")]
+
+
+def test_repaired_turns_are_legal(spark, small):
+    from brindle.sources import Tables
+
+    damaged = repair.damage(Tables(spark, small).conversations, "conv_id", "turn", "role", "text")
+    _, edited = repair.repair(damaged, "conv", "turn", "role", "text")
+    said = defaultdict(str)
+    for row in edited.collect():
+        if row["edit"] != "D":
+            said[row["conv"]] += row["role"][0]
+    import re
+    assert said and all(re.fullmatch("s?(ua)+", roles) for roles in said.values())
+
+
+def test_query_against_sql_and_brute_force(spark, medium):
+    found = QUERIES["op11_audit_repair"](spark, medium)
+    connection = connect(medium)
+    assert not differences(found, connection, SQL["op11_audit_repair"])
+    rows, ids = [], set()
+    for conv, turn, role, text in connection.sql(
+            "SELECT conv_id, turn, role, text FROM conversations").fetchall():
+        ids.add(conv)
+        fate = zlib.crc32(f"{conv}:{turn}".encode()) % 20
+        text = "" if fate == 1 else "".join(c for c in text if c not in ".!?") if fate == 2 else text
+        rows += [(conv, turn, "user" if fate == 4 else role, text)] * (0, 1, 2)[
+            0 if fate == 0 else 2 if fate == 3 else 1]
+    columns = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+               "repaired_sha256"]
+    assert {r["conv_id"]: tuple(r[c] for c in columns) for r in found.collect()} == plainly(rows, ids)
