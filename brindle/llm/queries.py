@@ -20,6 +20,7 @@ from brindle.llm import (
     quality_rules,
     repair,
     sharding,
+    simhash,
 )
 from brindle.llm.texts import id_remainder
 from brindle.sources import Tables
@@ -266,3 +267,8 @@ def op11_audit_repair(t: Tables) -> DataFrame:
     return audits.join(said, F.col("conv").eqNullSafe(F.col("conv_")), "left").select(
         F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal",
         "cost", "audit", F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+@query
+def op12_gray_simhash(t: Tables) -> DataFrame:
+    return simhash.simhash_join(t.documents, "doc_id", "text")
