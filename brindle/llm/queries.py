@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import (
+    alignment,
     byte_bpe,
     chat,
     jaccard,
@@ -272,3 +273,10 @@ def op11_audit_repair(t: Tables) -> DataFrame:
 @query
 def op12_gray_simhash(t: Tables) -> DataFrame:
     return simhash.simhash_join(t.documents, "doc_id", "text")
+
+
+@query
+def op13_csr_alignment(t: Tables) -> DataFrame:
+    return alignment.align_documents(
+        t.documents, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
