@@ -65,14 +65,14 @@ class Csr:
         key = rows.astype(np.int64) * width + columns
         if (key[1:] < key[:-1]).any():
             order = np.argsort(key, kind="stable")
-            key, value = key[order], value[order]
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
-        starts = np.flatnonzero(first)
-        sums = np.add.reduceat(value, starts) if len(starts) else value[:0]
-        row, column = np.divmod(key[starts], width) if width else (key[:0], key[:0])
-        begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=height))])
-        return cls(begin, column, sums, width)
+            key, rows, columns, value = key[order], rows[order], columns[order], value[order]
+        again = key[1:] == key[:-1]
+        if again.any():
+            starts = np.flatnonzero(np.concatenate([[True], ~again]))
+            value = np.add.reduceat(value, starts)
+            rows, columns = rows[starts], columns[starts]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=height))])
+        return cls(begin, columns, value, width)
 
     @classmethod
     def of_lengths(cls, lengths: np.ndarray) -> Csr:
@@ -143,12 +143,11 @@ def byte_level() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ids of texts, the bytes of an id, and its digits before a separator."""
+    """One tokenizer: ids of texts and the bytes of an id."""
 
     def __init__(self, spelled: list[bytes]):
         self.spelled = spelled
         self.lengths = np.array([len(s) for s in spelled], dtype=np.int64)
-        self.told = [f"{i}{mark}" for i in range(len(spelled)) for mark in ",|;"]
 
     def text(self, ids: list[int]) -> bytes:
         return b"".join(map(self.spelled.__getitem__, ids))
@@ -291,18 +290,28 @@ def _spelled(a: Side, b: Side, ids_a, ids_b, group_a, group_b, doc_a, doc_b, n:
         found[-1:] = end
         return found
 
-    told = [*map(a.told.__getitem__, (3 * ids_a + marks(group_a, 1)).tolist()),
-            *map(b.told.__getitem__, (3 * ids_b + marks(group_b, 2)).tolist())]
-    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-    doc = np.concatenate([doc_a, doc_b])[order]
-    ends = np.searchsorted(doc, np.arange(n), "right").tolist()
-    told, begin, found = [told[i] for i in order.tolist()], 0, []
+    # a group's tokens of A, then those of B: each behind what stands before its group
+    size_a, size_b = (np.bincount(g, minlength=1) for g in (group_a, group_b))
+    place = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+    place[np.arange(len(ids_a)) + (np.cumsum(size_b) - size_b)[group_a]] = (
+        3 * ids_a + marks(group_a, 1))
+    place[np.arange(len(ids_b)) + np.cumsum(size_a)[group_b]] = (
+        3 * (ids_b + len(a.spelled)) + marks(group_b, 2))
+    told = list(map(_told_ids(a, b).__getitem__, place.tolist()))
+    ends = np.cumsum(np.bincount(np.concatenate([doc_a, doc_b]), minlength=n)).tolist()
+    begin, found = 0, []
     for end in ends:
         found.append("".join(told[begin:end])[:-1])
         begin = end
     return found
 
 
+@functools.cache
+def _told_ids(a: Side, b: Side) -> list[str]:
+    """The digits of both sides' ids, each before a comma, a bar and a semicolon."""
+    return [f"{i}{mark}" for side in (a, b) for i in range(len(side.spelled)) for mark in ",|;"]
+
+
 # ---- over a table ----
 
 _FIELDS = ("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string")
