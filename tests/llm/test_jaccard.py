@@ -162,10 +162,82 @@ def test_one_text_of_a_class_comes_to_a_group(spark, documents, monkeypatch):
         def checked(batches):
             batches = list(batches)
             seen = Counter(pair for b in batches for pair in zip(
-                b.column(0).to_pylist(), b.column(1).to_pylist()))
+                *(b.column(i).to_pylist() for i in range(3))))
             assert max(seen.values(), default=1) == 1, max(seen.values())
             return run(iter(batches))
         return checked
 
     monkeypatch.setattr(jaccard, "_linked", counted)
     assert found(jaccard_join(documents(rows).repartition(4), "doc_id", "text")) == brute(rows)
+
+
+def test_a_family_is_counted_from_its_size(spark, documents):
+    """Many texts close around one, others further off, and unlike ones that share wording."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = near_copies(rng, words, 260, 2) + near_copies(rng, words, 60, 9)
+    other = words[:280] + [f"o{i}" for i in range(14)]
+    texts += near_copies(rng, other, 120, 2)
+    texts += [" ".join(words[:150] + [f"x{rng.randint(0, 10 ** 6)}" for _ in range(150)])
+              for _ in range(80)]
+    rows = list(enumerate(texts + texts[:40]))
+    rng.shuffle(rows)
+    df = documents(rows).repartition(5)
+    join = Join(bucket=200, family=40)
+    own = df.selectExpr("doc_id AS id", "text")
+    families = jaccard._families(_classes(own, join), own, join).collect()
+    sizes = Counter(r["family"] for r in families)
+    assert max(sizes.values()) > 150 and len({r["class"] for r in families}) == len(families)
+    # a whole family is linked with each other, by the plain definition
+    sets = {jaccard.class_key(shingles(t, 5)): shingles(t, 5) for _, t in rows}
+    for family in sizes:
+        members = [sets[bytes(r["class"])] for r in families if r["family"] == family]
+        assert similar(members, 0.8).sum() == len(members) * (len(members) - 1)
+    got, wanted = found(jaccard_join(df, "doc_id", "text", join)), brute(rows)
+    assert sum(w[2] for w in wanted) - sum(g[2] for g in got) <= 0.002 * sum(w[2] for w in wanted)
+    assert all(g[2] <= w[2] and g[1] == w[1] for g, w in zip(got, wanted))
+    # where no path is long nothing is missed by chance: every number is that of the definition
+    assert found(jaccard_join(df, "doc_id", "text", Join(bucket=1000, family=40))) == wanted
+
+
+def _classes(own, join):
+    sets = own.mapInArrow(jaccard._sets(join), "id long, class binary, signature binary, size long")
+    return sets.where("class IS NOT NULL").groupBy("class").agg(
+        F.min("id").alias("least"), F.min("signature").alias("signature"))
+
+
+def test_common_wording_makes_rows_in_proportion(spark, documents):
+    """Texts that share 60 words of 100 are not linked, and are not compared all with all."""
+    rows = {}
+    for n in (1000, 4000):
+        rng = random.Random(n)
+        shared = " ".join(f"s{i}" for i in range(60))
+        texts = [(i, shared + " " + " ".join(f"u{rng.randint(0, 10 ** 9)}" for _ in range(40)))
+                 for i in range(n)]
+        own = documents(texts).selectExpr("doc_id AS id", "text")
+        join = Join()
+        classes = _classes(own, join).withColumn("family", F.lit(None).cast("binary")).checkpoint()
+        rows[n] = jaccard._buckets(classes, join).count()
+    assert rows[4000] < 6 * rows[1000] + 40_000, rows
+
+
+def test_sets_are_compared_in_slices(spark, documents):
+    rng = random.Random(6)
+    words = [f"w{rng.randint(0, 10 ** 7)}" for _ in range(20_000)]
+    rows = list(enumerate(near_copies(rng, words, 12, 300)))
+    assert found(jaccard_join(documents(rows), "doc_id", "text", Join(slice_bytes=1 << 15))) == brute(rows)
+    # what a task holds of a group is one slice of it
+    sets = [shingles(t, 5) for _, t in rows]
+    total, cuts = 0, np.linspace(0, 2.0 ** 64, 9)[1:-1].astype(np.uint64)
+    for parts in zip(*(np.split(s, np.searchsorted(s, cuts)) for s in sets)):
+        total = total + jaccard.shared(list(parts))
+    assert (total == jaccard.shared(sets)).all()
+
+
+def test_near_copies_without_ids(spark, documents):
+    rng = random.Random(2)
+    rows = [(None, t) for t in near_copies(rng, [f"w{i}" for i in range(200)], 9, 3)]
+    rows += [(5, rows[3][1]), (None, "a b c d e f g"), (9, None)]
+    assert found(jaccard_join(documents(rows), "doc_id", "text")) == brute(rows)
+    none = [(None, t) for t in near_copies(rng, [f"v{i}" for i in range(200)], 9, 3)]
+    assert found(jaccard_join(documents(none), "doc_id", "text")) == brute(none)
