@@ -3,12 +3,15 @@
 A template is license wording with two kinds of markup. ``{{ ... }}`` may be
 left out; ``<<n>>`` stands for up to n words of any kind (a name, a year). What
 is outside both is mandatory and has to be there word for word. A template is
-compiled once into an automaton over words; it is run from each place of a text
-where a mandatory first word stands, and a text is accepted for the template if
-a run reaches the end.
+compiled once into an automaton over words, and all of them are one automaton that reads a text
+once: a run begins at every word that may begin a template, and runs that stand at the same
+place of a template are one. Sets of places are states of their own, made when they are
+first met, so a word costs a step, however many runs there are. A text is accepted for a
+template if a run reaches the end.
 
-Templates are excerpts and notices: a match says that their wording is there, and nothing of
-what the text says after it, as conditions that were changed or added.
+Labels that end in ``-full`` stand for a license's whole wording, where what is changed or added
+inside takes the label away. The others stand for excerpts and notices: a match says that
+their wording is there, and nothing of what the text says after it.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
+from operator import getitem
 
 from pyspark.sql import DataFrame
 
@@ -33,6 +38,23 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
+# the clause on names stands between the conditions and the disclaimer, or not
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are "
+    "permitted provided that the following conditions are met: {{1}} Redistributions of source "
+    "code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer. {{2}} Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation "
+    "{{and}} {{or}} other materials provided with the distribution. %s THIS SOFTWARE IS PROVIDED "
+    "BY <<8>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL <<8>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT "
+    "OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+    "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
 #: Wording of public licenses and of the usual notices that name them.
 TEMPLATES = {
     "mit": [
@@ -69,6 +91,37 @@ TEMPLATES = {
         "or without fee is hereby granted, provided that the above copyright notice and this "
         "permission notice appear in all copies",
     ],
+    "mit-full": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of "
+        "<<6>> software and associated documentation files {{(the \"Software\")}}, to deal in "
+        "the Software without restriction, including without limitation the rights to use, "
+        "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject "
+        "to the following conditions: The above copyright notice and this permission notice "
+        "{{(including the next paragraph)}} shall be included in all copies or substantial "
+        "portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL <<8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "isc-full": [
+        "Permission to use, copy, modify, {{and}} {{or}} distribute this software for any "
+        "purpose with or without fee is hereby granted, provided that the above copyright "
+        "notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS "
+        "IS\" AND <<6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<6>> BE LIABLE "
+        "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "bsd-2-full": [_BSD % ""],
+    "bsd-3-full": [_BSD % (
+        "{{3}} Neither the name of <<8>> nor the names of <<2>> contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written "
+        "permission.")],
 }
 
 
@@ -80,7 +133,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Automaton:
     """States are places in a template; an edge takes a word, any word, or none.
 
-    ``score`` of a run is the share of the mandatory words that it has met.
+    A place knows how many mandatory words stand before it.
     """
 
     def __init__(self, template: str):
@@ -105,8 +158,6 @@ class Automaton:
                     self._step(word, not depth)
         self.end = len(self.edges) - 1
         self.mandatory = self.met[-1]
-        self.first_words = {w for s in self._closed({0}) for w, _ in self.edges[s]
-                            if w is not None}
 
     def _step(self, word: bytes | None, mandatory: bool) -> None:
         self.edges[-1].append((word, len(self.edges)))
@@ -114,7 +165,7 @@ class Automaton:
         self.edges.append([])
         self.skips.append([])
 
-    def _closed(self, states: set[int]) -> set[int]:
+    def closed(self, states: set[int]) -> set[int]:
         found, todo = set(states), list(states)
         while todo:
             for s in self.skips[todo.pop()]:
@@ -123,23 +174,72 @@ class Automaton:
                     todo.append(s)
         return found
 
-    def share(self, words: list[bytes], at: int) -> float:
-        """The share of the mandatory words met by a run from word ``at``; 1.0: accepted."""
-        states, best = self._closed({0}), 0
-        for word in words[at:]:
-            states = {t for s in states for w, t in self.edges[s] if w is None or w == word}
-            if not states:
-                break
-            states = self._closed(states)
-            if self.end in states:
-                return 1.0
-            best = max(best, max(self.met[s] for s in states))
-        return best / self.mandatory
+
+class _State(dict):
+    """Places in which runs stand, with the state that follows by a word of the templates.
+
+    ``score`` is the largest share of a template's mandatory words that a run has met,
+    ``labels`` what is accepted here.
+    """
+
+    __slots__ = ("_all", "_places", "score", "labels")
+    __hash__, __eq__ = object.__hash__, object.__eq__
+
+    def __init__(self, matcher: Matcher, places: frozenset[tuple[int, int]]):
+        super().__init__()
+        self._all, self._places = matcher, places
+        shares = [(matcher.told[t][1].met[s] / matcher.told[t][1].mandatory, t, s)
+                  for t, s in places]
+        self.labels = {matcher.told[t][0] for _, t, s in shares if s == matcher.told[t][1].end}
+        self.score = 1.0 if self.labels else max((share for share, *_ in shares), default=0.0)
+
+    def __missing__(self, word: bytes | None) -> _State:
+        self[word] = found = self._all.after(self._places, word)
+        return found
+
+
+class Matcher:
+    """All templates as one automaton, whose states are made as texts need them."""
+
+    def __init__(self, templates: dict[str, list[str]], most: int = 50_000):
+        self.told = [(label, Automaton(t)) for label, found in templates.items() for t in found]
+        words = {w for _, a in self.told for edges in a.edges for w, _ in edges if w is not None}
+        self._words, self._most = {w: w for w in words}, most
+        self._states: dict[frozenset, _State] = {}
+        # a run begins with a word that is told, never with any word
+        self._firsts: dict[bytes, set[tuple[int, int]]] = {}
+        for t, (_, a) in enumerate(self.told):
+            for state in a.closed({0}):
+                for word, to in a.edges[state]:
+                    if word is not None:
+                        self._firsts.setdefault(word, set()).add((t, to))
+
+    def _state(self, places: frozenset) -> _State:
+        if places not in self._states:
+            self._states[places] = _State(self, places)
+        return self._states[places]
+
+    def after(self, places: frozenset, word: bytes | None) -> _State:
+        reached = set(self._firsts.get(word, ()))
+        for t, state in places:
+            reached.update((t, to) for w, to in self.told[t][1].edges[state]
+                           if w is None or w == word)
+        return self._state(frozenset(
+            (t, s) for t, to in reached for s in self.told[t][1].closed({to})))
+
+    def match(self, words: list[bytes]) -> tuple[set[str], float]:
+        """The labels accepted anywhere, and the largest share of a template's mandatory words."""
+        if len(self._states) > self._most:
+            self._states = {}
+        # other words than the templates' are all the same to them
+        met = set(accumulate(map(self._words.get, words), getitem,
+                             initial=self._state(frozenset())))
+        return set().union(*(s.labels for s in met)), max(s.score for s in met)
 
 
 @functools.cache
-def automata() -> tuple[tuple[str, Automaton], ...]:
-    return tuple((label, Automaton(t)) for label, found in TEMPLATES.items() for t in found)
+def matcher() -> Matcher:
+    return Matcher(TEMPLATES)
 
 
 def scan(text: str | None) -> tuple:
@@ -149,27 +249,15 @@ def scan(text: str | None) -> tuple:
     places, base = [], set()
     for phrase, label in PHRASES.items():
         wanted = b" " + phrase.encode() + b" "
-        at = line.find(wanted)
+        before, place, at = 0, 0, line.find(wanted)
         while at >= 0:
-            places.append(line.count(b" ", 0, at))
+            place += line.count(b" ", before, at)
+            places.append(place)
             base.add(label)
-            at = line.find(wanted, at + 1)
-    labels, score = set(base), 1.0 if base else 0.0
-    for label, automaton in automata():
-        for first in automaton.first_words:
-            at = -1
-            while True:
-                try:
-                    at = words.index(first, at + 1)
-                except ValueError:
-                    break
-                share = automaton.share(words, at)
-                score = max(score, share)
-                if share == 1.0:
-                    labels.add(label)
-                    break
+            before, at = at, line.find(wanted, at + 1)
+    labels, score = matcher().match(words)
     return (len(words), len(places), min(places, default=None), max(places, default=None),
-            ",".join(sorted(base)), ",".join(sorted(labels)), score)
+            ",".join(sorted(base)), ",".join(sorted(labels | base)), 1.0 if base else score)
 
 
 FIELDS = ("n_words long, n_base long, first_word long, last_word long, base_labels string, "
@@ -188,7 +276,8 @@ def scan_licenses(df: DataFrame, text: str) -> DataFrame:
     template accepts; ``score`` is 1 where a phrase or a template is met, else
     the greatest share of a template's mandatory words that stand in a row from a
     place where it may begin. Texts are read whole, row by row: nothing is
-    shuffled and memory holds an Arrow batch. A null or empty text has no words,
-    no labels and score 0. Columns named like a result are replaced by it.
+    shuffled and memory holds an Arrow batch; time is in proportion to a text's length. A null
+    or empty text has no words, no labels and score 0. Repeated rows get the same each; an empty
+    table gives no rows. Columns named like a result are replaced by it.
     """
     return with_fields(df, text, FIELDS, _rows)

@@ -4,10 +4,19 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from brindle.llm.licenses import PHRASES, TEMPLATES, Automaton, scan, scan_licenses, words_of
+from brindle.llm.licenses import (
+    PHRASES,
+    TEMPLATES,
+    Automaton,
+    Matcher,
+    scan,
+    scan_licenses,
+    words_of,
+)
 from brindle.llm.queries import QUERIES
 from brindle.sources import Tables
 
@@ -84,12 +93,84 @@ def test_random_mixtures_of_template_words():
         check(" ".join(parts))
 
 
+def share(automaton, words, at):
+    """The share of the mandatory words met by one run from word ``at``; 1.0: accepted."""
+    states, best = automaton.closed({0}), 0
+    for step, word in enumerate(words[at:at + 400]):
+        # a run begins with a word that is told, never with any word
+        states = {t for s in states for w, t in automaton.edges[s]
+                  if w == word or (w is None and step)}
+        if not states:
+            break
+        states = automaton.closed(states)
+        if automaton.end in states:
+            return 1.0
+        best = max(best, max(automaton.met[s] for s in states))
+    return best / automaton.mandatory
+
+
+def plainly(templates, words):
+    """Labels and score by a run from every word of every template."""
+    found, score = set(), 0.0
+    for label, wordings in templates.items():
+        for automaton in map(Automaton, wordings):
+            best = max((share(automaton, words, at) for at in range(len(words))), default=0.0)
+            score = max(score, best)
+            found |= {label} if best == 1 else set()
+    return found, score
+
+
 def test_an_automaton_counts_what_it_has_met():
-    automaton = Automaton("a b {{c}} <<2>> d")
-    assert automaton.share([b"a", b"b", b"x", b"y", b"d"], 0) == 1
-    assert automaton.share([b"a", b"b", b"x", b"y", b"z"], 0) == 2 / 3
-    assert automaton.share([b"a", b"b", b"d"], 0) == 1
-    assert automaton.share([b"b"], 0) == 0
+    matcher = Matcher({"x": ["a b {{c}} <<2>> d"]})
+    assert matcher.match([b"a", b"b", b"x", b"y", b"d"]) == ({"x"}, 1)
+    assert matcher.match([b"a", b"b", b"x", b"y", b"z"]) == (set(), 2 / 3)
+    assert matcher.match([b"a", b"b", b"d"]) == ({"x"}, 1)
+    assert matcher.match([b"b"]) == matcher.match([]) == (set(), 0)
+
+
+def test_one_pass_finds_what_a_run_from_every_word_finds():
+    rng = random.Random(5)
+    templates = {"x": ["a b {{c d}} <<2>> a b"], "y": ["{{a}} b <<1>> {{b {{a}} c}} d", "c c a"],
+                 "z": ["a {{<<2>> b}} a c"]}
+    for most in (0, 50_000):
+        matcher = Matcher(templates, most)
+        for _ in range(1500):
+            words = rng.choices([b"a", b"b", b"c", b"d", b"e"], k=rng.randint(0, 14))
+            assert matcher.match(words) == plainly(templates, words), words
+    whole = [t for ts in TEMPLATES.values() for t in ts]
+    for _ in range(60):
+        words = [w for _ in range(3) for w in words_of(
+            re.sub(r"\{\{|\}\}|<<\d+>>", " ", rng.choice(whole)))[:rng.randint(3, 60)]]
+        labels_, score = plainly(TEMPLATES, words)
+        assert scan(b" ".join(words).decode())[-2:] == (
+            ",".join(sorted(labels_ | set(filter(None, base(b" ".join(words).decode())[4].split(","))))),
+            1.0 if base(b" ".join(words).decode())[4] else score)
+
+
+def test_whole_wording_has_to_be_whole():
+    for label in ("mit-full", "isc-full", "bsd-2-full", "bsd-3-full"):
+        text = re.sub(r"<<\d+>>", "some one", re.sub(r"\{\{(.*?)\}\}", r"\1", TEMPLATES[label][0]))
+        assert label in scan("Copyright 2020 x\n\n" + text + "\nmore")[5].split(",")
+        words = text.split()
+        for changed in ([*words[:40], "never", *words[40:]], words[:-1], words[1:],
+                        [*words[:-9], "no", *words[-8:]]):
+            found = scan(" ".join(changed))
+            assert label not in found[5].split(",")
+    assert scan(TEMPLATES["bsd"][0])[5] == "bsd"
+
+
+def test_time_grows_with_the_length():
+    rng = random.Random(1)
+    words = sorted({w.decode() for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
+    text = " ".join(rng.choice(words) for _ in range(160_000)) + " the mit license" * 20_000
+    scan(text[:1000])
+    seconds = []
+    for times in (1, 8):
+        begin = time.process_time()
+        found = scan(" ".join([text] * times))
+        seconds.append(time.process_time() - begin)
+        assert found[1] == 20_000 * times
+    assert len(text * 8) > 10 ** 7 and seconds[1] < 20 and seconds[1] < 16 * seconds[0] + 1, seconds
 
 
 def test_columns_rows_and_empty_tables(spark, documents):
