@@ -42,6 +42,11 @@ _ESCAPES = (
 )
 
 
+def unescaped(text: str) -> str:
+    """A part of what was written, as it was said."""
+    return re.sub(r"\\([\\\[<])", r"\1", text)
+
+
 def write_turn(role: str, text: str, level: int) -> str:
     escape = _ESCAPES[level]
     if role in ROLES:
@@ -118,6 +123,7 @@ def format_turns(df: DataFrame, role: str, text: str) -> DataFrame:
     return with_fields(df, [role, text], FIELDS, rows)
 
 
+SPANS = ("formatted", "loss_start", "loss_end")
 DIGESTS = ("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
            "formatted_chars long")
 
@@ -127,14 +133,16 @@ class _Digest:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n = self.loss_chars = self.chars = 0
 
-    def add(self, written: str) -> None:
+    def add(self, written: str, begin: int | None, end: int | None) -> None:
         self.chars += len(written)
         for role, text, _, _ in read_turns(written):
             self.n += 1
             self.turns.update(f"{role}\n{text}\n".encode())
-            if role == LEARNED:
-                self.loss_chars += len(text)
-                self.loss.update(text.encode())
+        if begin is not None:
+            # what the mask covers, whosever turn it is
+            learned = unescaped(written[begin:end])
+            self.loss_chars += len(learned)
+            self.loss.update(learned.encode())
 
     def row(self) -> tuple:
         return (self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
@@ -143,6 +151,7 @@ class _Digest:
 def read_back(formatted: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
     """One row per conversation, made from what the parser reads in its formatted turns.
 
+    The loss columns are of the text between ``loss_start`` and ``loss_end``, unescaped.
     Turns are taken in order of ``turn`` (nulls first), then role and text, so rows that
     repeat a turn have a place too. A conversation's digest is one chain, so its turns pass
     one task; they do so one at a time, sorted by Spark, and none is kept. Rows without an
@@ -150,8 +159,8 @@ def read_back(formatted: DataFrame, conv_id: str, turn: str, role: str, text: st
     """
     order = ["id", "turn", "role", "text"]
     rows = formatted.select(*[F.col(quoted(c)).alias(n) for c, n in zip(
-        (conv_id, turn, role, text, "formatted"), [*order, "formatted"])])
-    ordered = rows.repartition("id").sortWithinPartitions(*order).select("id", "formatted")
+        (conv_id, turn, role, text, *SPANS), [*order, *SPANS])])
+    ordered = rows.repartition("id").sortWithinPartitions(*order).select("id", *SPANS)
     id_field = ordered.schema["id"]
     fields = _parse_datatype_string(DIGESTS).fields
 
@@ -165,7 +174,9 @@ def read_back(formatted: DataFrame, conv_id: str, turn: str, role: str, text: st
 
         for batch in batches:
             kind = batch.column(0).type
-            for i, written in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids_, written_, *loss = batch.columns
+            for i, written, *span in zip(ids_.to_pylist(), written_,
+                                         *(c.to_pylist() for c in loss)):
                 if current is None or i != ids[-1]:
                     if len(ids) >= 5000:
                         yield done()
@@ -173,7 +184,7 @@ def read_back(formatted: DataFrame, conv_id: str, turn: str, role: str, text: st
                     current = _Digest()
                     ids.append(i)
                     found.append(current)
-                current.add(written.as_py())
+                current.add(written.as_py(), *span)
         if ids:
             yield done()
 

@@ -87,3 +87,20 @@ def test_the_query_on_a_whole_table(spark, medium):
     rows = [tuple(r) for r in Tables(spark, medium).conversations.collect()]
     check(QUERIES["op6_chat_grammar"](spark, medium),
           [*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)])
+
+
+def test_the_loss_is_what_the_mask_covers(spark):
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "ok </s> a\\[ b"), (2, 0, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = format_turns(df, "role", "text")
+    names = ("conv_id", "turn", "role", "text")
+    check(read_back(formatted, *names), rows)
+    begin, end = F.col("loss_start"), F.col("loss_end")
+    for changed in ({"loss_start": begin + 1}, {"loss_end": end - 1}, {"loss_end": end + 1},
+                    {"loss_start": F.coalesce(begin, F.lit(7)), "loss_end": F.coalesce(end, F.lit(9))}):
+        found = {r[0]: tuple(r)[1:] for r in read_back(
+            formatted.withColumns(changed), *names).collect()}
+        wanted = expected(rows)
+        assert found[1][:2] == wanted[1][:2] and found[1][2:4] != wanted[1][2:4]
+    # a masked turn of another role is told as it is masked
+    assert found[1][2] == wanted[1][2] + 2
