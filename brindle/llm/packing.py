@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,13 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
-from brindle.llm.texts import quoted
+from brindle.llm.texts import quoted, with_fields
 
 #: Examples that a task packs together, and the share below which a sequence waits for more.
 BLOCK = 50_000
 FULL = 0.98
-#: What a Python worker keeps: about 200 bytes each.
-KEPT_WORDS, KEPT_CORES = 300_000, 500_000
 #: White space for Arrow but not for the tokenizer, and the mark between words.
 _APART = "[\x00\x1c-\x1f]"
 #: Characters whose words are encoded together, and words that a Python worker keeps.
@@ -160,8 +159,11 @@ class Words:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text here
+        self.tokenizer = Tokenizer.from_file(path)
+        # strings of special tokens are their ids, as the library has it: texts with them are
+        # encoded as they are, like those whose blanks mean something else to Arrow
+        special = (re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self._apart = "|".join([_APART, *(f"(?i:{s})" for s in special)])
         self._known: dict[str, bytes] = {}
         [self._mark_id] = self._numbers(self._MARK)
         self._tails = {c: self._numbers(c).tobytes() for c in ".,"}
@@ -171,7 +173,7 @@ class Words:
                          for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower()}
 
     def _numbers(self, text: str) -> np.ndarray:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _core(self, word: str) -> tuple[str, bytes]:
         # one character by one is lowered alike here and in the tokenizer but for these two
@@ -183,7 +185,7 @@ class Words:
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         split = list(map(self._core, words))
-        known, letters, tokenize = self._known, self._letters, self._tokenizer.model.tokenize
+        known, letters, tokenize = self._known, self._letters, self.tokenizer.model.tokenize
         fresh: dict[str, bytes] = {}
         others = []
         for core in {core for core, _ in split if core not in known}:
@@ -209,10 +211,10 @@ class Words:
         """All ids of some texts, one text after the other, and where each text's begin and end."""
         texts = pc.fill_null(texts, "")
         apart = {i: self._numbers(texts[i].as_py())
-                 for i in np.flatnonzero(pc.match_substring_regex(texts, _APART)).tolist()}
+                 for i in np.flatnonzero(pc.match_substring_regex(texts, self._apart)).tolist()}
         if apart:
             texts = pc.replace_with_mask(
-                texts, pc.match_substring_regex(texts, _APART), pa.scalar("", texts.type))
+                texts, pc.match_substring_regex(texts, self._apart), pa.scalar("", texts.type))
         split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         made = self._of_words(coded.dictionary.to_pylist())
@@ -235,6 +237,23 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+def turn_vectors(df: DataFrame, formatted: str, begin: str, end: str, tokenizer: str) -> DataFrame:
+    """``df`` with ``tokens`` and ``loss`` of each formatted turn: what it takes of the limits.
+
+    ``loss`` counts the tokens that stand wholly in the span from ``begin`` to ``end`` (code
+    points of the formatted text), the loss mask; none where it is null. A null or empty text
+    has no tokens. Columns of these names are replaced.
+    """
+    def rows(turns: Iterable[tuple[str | None, int | None, int | None]]) -> Iterator[tuple]:
+        encode = functools.partial(words(tokenizer).tokenizer.encode, add_special_tokens=False)
+        for written, first, last in turns:
+            spans = encode(written or "").offsets
+            yield len(spans), 0 if first is None else sum(
+                first <= a and b <= last and a < b for a, b in spans)
+
+    return with_fields(df, [formatted, begin, end], "tokens long, loss long", rows)
+
+
 PIECES = "start long, length long, loss long, ids_crc32 long, doc_tokens long"
 
 
@@ -256,7 +275,12 @@ def token_pieces(df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id:
 
 def pack_texts(df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int,
                limits: Limits, block: int = BLOCK) -> DataFrame:
-    """``pack`` of the ``token_pieces`` of texts, in one pass by one worker for each task."""
+    """``pack`` of the ``token_pieces`` of texts, in one pass by one worker for each task.
+
+    A null text and an empty one are one piece of ``end_id``; repeated rows are packed as often as
+    they come, null ids stay; an empty table gives no sequences. Only ``doc_id`` is kept of a
+    row, so no other column can clash. Each task's last sequences may be filled in part.
+    """
     source = df.select(quoted(doc_id), quoted(text))
     cut = _cutter(tokenizer, end_id, limits.tokens, False)
     place = _packer(2, 3, limits, block)  # length and loss

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm.packing import Limits, Words, pack, pack_vectors, token_pieces
+from brindle.llm.chat import format_turns
+from brindle.llm.packing import Limits, Words, pack, pack_vectors, token_pieces, turn_vectors
 from brindle.llm.queries import QUERIES
 from brindle.sources import Tables
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
+TOKENIZER = Tokenizer.from_file(PATH)  # with the library's own settings
 
 
 def ids_of(text):
@@ -43,7 +44,7 @@ def check_sequences(rows, limits):
 
 def test_words_are_encoded_as_by_the_tokenizer():
     rng, words = random.Random(1), Words(PATH)
-    alphabet = [*"abAB 'sé  \n\t\x1c\x1fΣσς́İıß你1²½ \x85\xa0\0ª", "<|endoftext|>", "Don'LL ", "the. "]
+    alphabet = [*"abAB 'sé  \n\t\x1c\x1fΣσς́İıß你1²½ \x85\xa0\0ª", "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", "Don'LL ", "the. "]
     texts = [None, "", "a" * 3000, *("".join(rng.choices(alphabet, k=rng.randint(0, 25)))
                                      for _ in range(3000))]
     found, bounds = words.ids(pa.array(texts, pa.string()))
@@ -134,3 +135,39 @@ def test_the_query_on_a_whole_table(spark, medium):
                                 Limits(2048, 64, 2047))
     tokens = sum(r.length for r in rows)
     assert 1 - tokens / (2048 * len(sequences)) < 0.02
+
+
+def test_strings_of_special_tokens_are_their_ids():
+    words = Words(PATH)
+    texts = ["end <|endoftext|> here", "a<|startoftext|>b", "<|EndOfText|>", "<|endoftext| >", "plain"]
+    found, bounds = words.ids(pa.array(texts))
+    got = [found[b:e].tolist() for b, e in zip(bounds[:-1], bounds[1:])]
+    assert got == [ids_of(t)[:-1] for t in texts] and got[0] == [806, 49407, 763]
+
+
+def test_every_limit_binds_on_conversations(spark, medium):
+    """Instruction data: tokens, segments and loss-bearing tokens of whole conversations."""
+    formatted = format_turns(Tables(spark, medium).conversations, "role", "text")
+    turns = turn_vectors(formatted, "formatted", "loss_start", "loss_end", PATH)
+    for r in turns.limit(40).collect():
+        spans = TOKENIZER.encode(r["formatted"], add_special_tokens=False).offsets
+        learned = [s for s in spans if r["role"] == "assistant"
+                   and r["loss_start"] <= s[0] and s[1] <= r["loss_end"]]
+        assert (r["tokens"], r["loss"]) == (len(spans), len(learned))
+    examples = turns.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"),
+                                            F.sum("loss").alias("loss")).coalesce(1).cache()
+    total = examples.agg(F.sum("tokens"), F.sum("loss"), F.max("tokens"), F.max("loss"),
+                         F.count("*")).first()
+    assert 0 < total[1] < total[0]
+    wide = Limits(tokens=10 ** 6, segments=10 ** 6, loss=10 ** 6)
+    for limits, used in ((replace(wide, tokens=total[2] + 500), 0), (replace(wide, segments=5), 2),
+                         (replace(wide, loss=total[3] + 200), 1)):
+        rows = pack(examples, "tokens", "loss", limits).collect()
+        assert sorted(r["conv_id"] for r in rows) == list(range(total[4]))
+        sequences = check_sequences(
+            [(r["sequence_id"], r["offset"], r["tokens"], r["loss"]) for r in rows], limits)
+        bound = (limits.tokens, limits.loss, limits.segments)[used]
+        sums = [(sum(m[1] for m in ms), sum(m[2] for m in ms), len(ms))[used]
+                for ms in sequences.values()]
+        # this limit makes the sequences: all but the last are nearly full of it
+        assert len(sequences) >= 5 and sum(s >= 0.9 * bound for s in sums) >= len(sums) - 1
