@@ -111,19 +111,29 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, doc_id: str, text: str, lang: str, learnable: Column,
-          per_language: int = 300, clusters: int = 3, slack: float = 0.5) -> Model:
+          per_language: int = 300, clusters: int = 3, slack: float = 0.5,
+          languages: int = 500) -> Model:
     """Learn from rows that are ``learnable`` and have a language and a text.
 
     Document frequencies are counted over all of these. Centroids come from a
     sample of at most ``per_language`` texts of each language, those whose ids have
     the least hash, clustered in one task per language. A cluster rejects texts below
     ``slack`` times the cosine that all but a hundredth of its own texts reach.
+
+    The model, which goes to the driver and to each task, has at most ``languages`` languages:
+    those with the most texts to learn from, the first by name where as many have them. Other
+    labels are never predicted. Rows without an id, a text or a language teach nothing, repeated
+    ones are one, and of an empty table nothing is learned.
     """
     rows = docs.where(learnable).select(
         F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text"),
         F.col(quoted(lang)).alias("lang")).dropna(subset=["text", "lang"])
     idf = inverse_frequencies(rows.select("text"))
     known = rows.dropna(subset=["id"]).select("lang", "id").distinct()
+    # at most `languages` rows; a language is counted in the map tasks
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(
+        languages)
+    known = known.join(F.broadcast(most.select("lang")), "lang", "left_semi")
     # broadcast if there are as few languages as there should be
     chosen = broadcast_if_small(written(least_hashed(known, "lang", "id", per_language)))
     # one text of each chosen id, however often it comes
@@ -158,8 +168,8 @@ def identify(df: DataFrame, text: str, model: Model) -> DataFrame:
     ``lang_pred`` is the nearest language, or ``und`` where the text is rejected. A null
     text and one without a letter have no nearest language: ``und`` and 0, rejected; so has
     any text if nothing was learned. Of equally near centroids the first language by
-    name is taken. Whole texts are read, row by row. Columns named like a result are
-    replaced by it.
+    name is taken. Whole texts are read, row by row: repeated rows get the same each, an empty
+    table gives no rows. Columns named like a result are replaced by it.
     """
     def rows(texts: Iterable[str | None]) -> Iterator[tuple]:
         for t in texts:

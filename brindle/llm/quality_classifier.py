@@ -186,7 +186,8 @@ def score_texts(df: DataFrame, text: str, model: Model) -> DataFrame:
     """``df`` with ``score``, 0 to 1: the likelihood of label 1.
 
     Whole texts are scored, row by row. A null text is an empty one, which has the
-    score of a text without n-grams. A column named score is replaced.
+    score of a text without n-grams. Repeated rows get the same score each, an empty table gives
+    no rows. A column named score is replaced.
     """
     def rows(texts: Iterable[str | None]) -> Iterator[tuple]:
         return ((model.score(t),) for t in texts)

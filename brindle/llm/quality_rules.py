@@ -9,9 +9,9 @@ Documents too short for a histogram are not judged by it.
 from __future__ import annotations
 
 import functools
+import pickle
 import unicodedata
-import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.texts import quoted, with_fields
+from brindle.llm.texts import free_name, quoted, with_fields
+from brindle.operators.ordered import broadcast_if_small, written
+from brindle.session import checkpoint_folder
 
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 CLASSES = ("lower", "upper", "letter", "number", "space", "point", "symbol")
-#: Words are counted by a hash of so many values; the most frequent ones are a language's
-#: common words, all others are one more entry of the histogram.
-WORD_BUCKETS, COMMON = 1 << 14, 64
-#: Languages whose counts a task holds at once.
-_HELD = 64
+#: The most frequent words of a language are its common words, all others are one more entry
+#: of the histogram.
+COMMON = 64
+#: Different words whose counts a task holds at once.
+_HELD = 200_000
 
 
 @dataclass(frozen=True)
@@ -58,25 +60,14 @@ def class_of() -> np.ndarray:
     return table
 
 
-class _Buckets(dict):
-    def __missing__(self, word: bytes) -> int:
-        bucket = zlib.crc32(word) % WORD_BUCKETS
-        if len(self) < 50_000:
-            self[word] = bucket
-        return bucket
-
-
-_buckets = _Buckets()
-
-
 def class_counts(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
     return np.bincount(class_of()[points], minlength=len(CLASSES))
 
 
-def word_buckets(text: str) -> np.ndarray:
-    words = text.encode().lower().split()
-    return np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words))
+def lowered_words(text: str) -> list[bytes]:
+    """What stands between ASCII white space, with A-Z lowered, as UTF-8."""
+    return text.encode().lower().split()
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -117,88 +108,113 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(min(max(parts.sum() / 2, 0.0), 1.0)))
 
 
+class _Places(dict):
+    """The place of each common word; all other words have the last one."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
+
+
 @dataclass(frozen=True)
 class Reference:
-    """Histograms of one language; ``common`` are word buckets, in the words' order."""
+    """Histograms of one language; ``common`` are its common words, in the words' order."""
 
     classes: np.ndarray
-    common: np.ndarray
+    common: _Places
     words: np.ndarray
     n_words: int
 
-    def word_counts(self, buckets: np.ndarray) -> np.ndarray:
-        place = np.full(WORD_BUCKETS, len(self.common))
-        place[self.common] = np.arange(len(self.common))
-        return np.bincount(place[buckets], minlength=len(self.common) + 1)
+    @classmethod
+    def of(cls, classes: list[int], words: list[tuple[bytes, int]], n_words: int) -> Reference:
+        counts = [n for _, n in words]
+        return cls(np.array(classes, dtype=float), _Places((w, i) for i, (w, _) in enumerate(words)),
+                   np.array([*counts, n_words - sum(counts)], dtype=float), n_words)
+
+    def word_counts(self, words: list[bytes]) -> np.ndarray:
+        places = np.fromiter(map(self.common.__getitem__, words), np.int64, len(words))
+        return np.bincount(places, minlength=len(self.common) + 1)
+
+
+@functools.lru_cache(256)
+def _read(reference: bytes) -> Reference:
+    """A reference as a task gets it beside each text of its language."""
+    return Reference.of(*pickle.loads(reference))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict = defaultdict(lambda: (np.zeros(len(CLASSES), np.int64),
-                                      np.zeros(WORD_BUCKETS, np.int64)))
+    """Rows of language, word and number; character classes have no word but their number."""
+    words: dict = defaultdict(Counter)
+    classes: dict = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            for kind, n in enumerate(counts):
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(at), pa.string()),
-                     pa.array(np.full(len(at), kind), pa.int32()),
-                     pa.array(at, pa.int32()), pa.array(n[at], pa.int64())],
-                    names=["lang", "kind", "bucket", "n"])
-        held.clear()
-
+        rows = [(lang, kind, None, n) for lang, found in classes.items()
+                for kind, n in enumerate(found.tolist()) if n]
+        rows += [(lang, None, word, n) for lang, found in words.items()
+                 for word, n in found.items()]
+        words.clear()
+        classes.clear()
+        kinds = pa.string(), pa.int32(), pa.binary(), pa.int64()
+        for begin in range(0, len(rows), 10_000):
+            columns = zip(*rows[begin:begin + 10_000])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                             names=["lang", "kind", "word", "n"])
+
+    held = 0
     for batch in batches:
         for text, lang in zip(*batch.columns):
-            classes, words = held[lang.as_py()]
-            text = text.as_py() or ""
-            classes += class_counts(text)
-            words += np.bincount(word_buckets(text), minlength=WORD_BUCKETS)
-            if len(held) > _HELD:
+            text, lang = text.as_py() or "", lang.as_py()
+            classes[lang] += class_counts(text)
+            before = len(words[lang])
+            words[lang].update(lowered_words(text))
+            held += len(words[lang]) - before + 1
+            if held > _HELD:
                 yield from flushed()
+                held = 0
     yield from flushed()
 
 
-def references(df: DataFrame, text: str, lang: str) -> dict[str | None, Reference]:
-    """Each language's histograms, over all its documents.
+def references(df: DataFrame, text: str, lang: str, rules: Rules = Rules()) -> DataFrame:
+    """Rows of ``lang`` and ``reference``: each language's histograms, over all its documents.
 
-    Tasks add up what they read; what comes to the driver is the character classes and
-    COMMON words of each language.
+    Tasks add up what they read, and of a language's words only the most frequent of a task go
+    on to be compared with others'. Languages of fewer than ``rules.min_reference`` words have
+    none; of equally frequent words the first by its bytes is taken. Nothing comes to the driver.
     """
     counts = (df.select(quoted(text), quoted(lang))
-              .mapInArrow(_counted, "lang string, kind int, bucket int, n long")
-              .groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")))
-    # at most WORD_BUCKETS rows of a language
-    by = Window.partitionBy("lang", "kind")
-    top = (counts.withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "bucket")))
-           .withColumn("total", F.sum("n").over(by)).where(F.col("place") <= COMMON))
-    found: dict = defaultdict(lambda: ([], []))
-    for row in top.orderBy("lang", "kind", "place").collect():
-        found[row.lang][row.kind].append((row.bucket, row.n, row.total))
-    made = {}
-    for name, (classes, words) in found.items():
-        if not words:
-            continue
-        total = words[0][2]
-        hist = np.zeros(len(CLASSES))
-        for bucket, n, _ in classes:
-            hist[bucket] = n
-        common = [n for _, n, _ in words]
-        made[name] = Reference(hist, np.array([b for b, _, _ in words]),
-                               np.array([*common, total - sum(common)], dtype=float), total)
-    return made
-
-
-def judged(known: dict[str | None, Reference], rules: Rules, text: str | None,
-           lang: str | None) -> tuple:
+              .mapInArrow(_counted, "lang string, kind int, word binary, n long")
+              .groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")).checkpoint())
+    words = counts.where(F.col("kind").isNull())
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = (words.withColumn("place", F.row_number().over(order)).where(F.col("place") <= COMMON)
+           .groupBy(F.col("lang").alias("lang_"))
+           .agg(F.array_sort(F.collect_list(F.struct("place", "word", "n"))).alias("words")))
+    # the classes' numbers and the words' total, which are few rows
+    sums = counts.groupBy("lang").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n"))))
+        .alias("classes"),
+        F.sum(F.when(F.col("kind").isNull(), F.col("n"))).alias("total")).where(
+        F.col("total") >= max(rules.min_reference, 1))
+
+    def rows(values: Iterable[tuple]) -> Iterator[tuple]:
+        for classes, common, total in values:
+            found = dict(classes)
+            yield (pickle.dumps(([found.get(k, 0) for k in range(len(CLASSES))],
+                                 [(w["word"], w["n"]) for w in common], total)),)
+
+    joined = sums.join(top, F.col("lang").eqNullSafe(F.col("lang_")))
+    return with_fields(joined, ["classes", "words", "total"], "reference binary", rows).select(
+        "lang", "reference")
+
+
+def judged(reference: Reference | None, rules: Rules, text: str | None) -> tuple:
     text = text or ""
     base = base_measures(text)
-    reference = known.get(lang)
     by_class = by_word = None
-    if reference is not None and reference.n_words >= rules.min_reference:
+    if reference is not None:
         if len(text) >= rules.min_chars:
             by_class = distance(class_counts(text), reference.classes)
         if base[0] >= rules.min_words:
-            by_word = distance(reference.word_counts(word_buckets(text)), reference.words)
+            by_word = distance(reference.word_counts(lowered_words(text)), reference.words)
     far = (by_class or 0) > rules.class_limit or (by_word or 0) > rules.word_limit
     return (*base, by_class, by_word, not base[-1] and not far)
 
@@ -216,12 +232,17 @@ def apply_rules(df: DataFrame, text: str, lang: str, rules: Rules = Rules()) ->
     language's reference is too short to compare. Rows without a language are
     a language of their own. A null text has no words: not kept. Repeated rows each
     count in the references and keep their own row. Columns named like a result are
-    replaced by it. Whole texts are read twice, once for the references; one
-    shuffle adds up counts.
+    replaced by it; an empty table gives no rows. Whole texts are read twice, once for the
+    references; one shuffle adds up counts. References are a table that is joined by language,
+    and broadcast only where a count finds it small.
     """
-    known = references(df, text, lang)
+    checkpoint_folder(df.sparkSession)
+    known = broadcast_if_small(written(references(df, text, lang, rules)))
+    own, reference = free_name(df, "_lang"), free_name(df, "_reference")
+    met = df.join(known.withColumnsRenamed({"lang": own, "reference": reference}),
+                  F.col(quoted(lang)).eqNullSafe(F.col(own)), "left").drop(own)
 
-    def rows(values: Iterable[tuple[str | None, str | None]]) -> Iterator[tuple]:
-        return (judged(known, rules, t, l) for t, l in values)
+    def rows(values: Iterable[tuple[str | None, bytes | None]]) -> Iterator[tuple]:
+        return (judged(r and _read(r), rules, t) for t, r in values)
 
-    return with_fields(df, [text, lang], FIELDS, rows)
+    return with_fields(met, [text, reference], FIELDS, rows).drop(reference)

@@ -137,3 +137,90 @@ def test_descent_finds_the_hinge_loss_minimum():
         w = w - (w - (costs * signs * over) @ x) / (step + 10)
         best = min(best, loss(w))
     assert loss(np.append(weights[:12], bias)) <= best + 1e-2
+
+
+def plain_ngrams(text):
+    """The hashed n-grams of a text's letters, by loops over characters."""
+    line = " "
+    for c in text.lower():
+        line += c if c.isalpha() else " " if line[-1] != " " else ""
+    line += "" if line[-1] == " " else " "
+    counts = {}
+    for i in range(len(line)):
+        n = ord(line[i]) * 0x9E3779B1
+        found = [n]
+        if i + 1 < len(line):
+            n = n * 0x85EBCA77 + ord(line[i + 1]) * 0xC2B2AE3D
+            found.append(n)
+        if i + 2 < len(line):
+            found.append(n * 0x27D4EB2F + ord(line[i + 2]) * 0x165667B1)
+        for x in found:
+            counts[x % 2 ** 32 >> 19] = counts.get(x % 2 ** 32 >> 19, 0) + 1
+    return counts if any(c.isalpha() for c in text) else None
+
+
+def test_languages_against_plain_cosines(spark, medium):
+    t = Tables(spark, medium)
+    docs = t.documents.collect()
+    learned = [plain_ngrams(d.text) for d in docs
+               if remainder(d.doc_id, 3) != 1 and d.lang is not None and d.text is not None]
+    learned = [c for c in learned if c is not None]
+    held = {}
+    for counts in learned:
+        for bucket in counts:
+            held[bucket] = held.get(bucket, 0) + 1
+    model = language.train(t.documents, "doc_id", "text", "lang", id_remainder("doc_id", 3) != 1)
+    for bucket in range(language.SIZE):
+        assert model.idf[bucket] == pytest.approx(
+            np.log((1 + len(learned)) / (1 + held.get(bucket, 0))) + 1)
+    rows = {r.doc_id: r for r in QUERIES["op1_nearest_centroid_language"](spark, medium).collect()}
+    for d in docs[::7]:
+        counts, r = plain_ngrams(d.text or ""), rows[d.doc_id]
+        if counts is None:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        weights = {b: np.log(1 + n) * model.idf[b] for b, n in counts.items()}
+        length = sum(w * w for w in weights.values()) ** 0.5
+        cosines = [sum(w / length * c[b] for b, w in weights.items()) for c in model.centroids]
+        best = max(cosines)
+        assert r.score == pytest.approx(best, abs=1e-4)
+        near = {name for name, c in zip(model.languages, cosines) if c > best - 1e-5}
+        assert r.lang_pred in near
+        if len(near) == 1 and min(abs(best - x) for x in model.least) > 1e-4:
+            assert r.rejected == (best < model.least[int(np.argmax(cosines))])
+
+
+def test_the_model_has_a_bounded_number_of_languages(spark, documents):
+    rows = [(i, "the and of is", "en") for i in range(50)] + [(i, "der die und", "de")
+                                                              for i in range(50, 90)]
+    rows += [(i, f"word of label {i}", f"l{i}") for i in range(90, 400)]
+    model = language.train(documents(rows), "doc_id", "text", "lang", F.lit(True), languages=2)
+    assert sorted(set(model.languages)) == ["de", "en"]
+
+
+def test_quality_scores_against_plain_sums():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, 12)).astype(np.int32) for _ in range(200)]
+    good = np.array([(r < 20).sum() + rng.random() > 4 for r in rows])
+    model = quality_classifier.fit(rows, good)
+    learn = [i for i in range(len(rows)) if i % 5 != 4]
+    counts = {True: {}, False: {}}
+    for i in learn:
+        for f in rows[i].tolist():
+            counts[bool(good[i])][f] = counts[bool(good[i])].get(f, 0) + 1
+    size = {g: quality_classifier.SIZE + sum(c.values()) for g, c in counts.items()}
+
+    def ratio(f):
+        return np.log((1 + counts[True].get(f, 0)) / size[True]
+                      / ((1 + counts[False].get(f, 0)) / size[False]))
+
+    assert all(model.scale[f] == pytest.approx(ratio(f), abs=1e-5) for f in range(80))
+    text = "some text with words words words words and more"
+    found = quality_classifier.features(text).tolist()
+    model = quality_classifier.fit([np.array(found[:40]), np.array(found[20:])] * 30,
+                                   np.array([True, False] * 30))
+    own = [float(model.scale[f]) for f in found]
+    length = sum(x * x for x in own) ** 0.5
+    margin = sum(float(model.weights[f]) * x / length for f, x in zip(found, own)) + model.bias
+    assert model.margin(np.array(found)) == pytest.approx(margin, abs=1e-5)
+    assert model.score(text) == pytest.approx(1 / (1 + np.exp(-(model.a * margin + model.b))), abs=1e-5)

@@ -107,18 +107,47 @@ def test_the_query_on_a_whole_table(spark, medium):
         assert tuple(rows[d.doc_id])[1:7] == plain_base(d.text)
         classes.setdefault(d.lang, Counter()).update(map(plain_class, d.text))
         words.setdefault(d.lang, Counter()).update(d.text.encode().lower().split())
-    rules = Rules()
+    rules, compared = Rules(), 0
     for d in docs:
         r = rows[d.doc_id]
-        # words that share a bucket are one word there; none of the common ones do here
-        common = [w for w, _ in words[d.lang].most_common(40)]
-        assert len(common) == 40
+        if r.word_distance is not None:
+            common = sorted(words[d.lang], key=lambda w: (-words[d.lang][w], w))[:64]
+            own, other = Counter(), Counter()
+            for counts, found in ((own, Counter(d.text.encode().lower().split())),
+                                  (other, words[d.lang])):
+                for w, n in found.items():
+                    counts[w if w in common else None] += n
+            assert r.word_distance == pytest.approx(plain_distance(own, other))
+            compared += 1
         if r.class_distance is not None:
             own = Counter(map(plain_class, d.text))
             assert r.class_distance == pytest.approx(plain_distance(own, classes[d.lang]))
         far = ((r.class_distance or 0) > rules.class_limit
                or (r.word_distance or 0) > rules.word_limit)
         assert r.kept == (not r.base_failed and not far)
+    assert compared > 500
     labels = {r.doc_id: r.quality for r in Tables(spark, medium).labels.collect()}
     clean = [rows[i] for i, q in labels.items() if q == 1 and not rows[i].base_failed]
     assert sum(r.kept for r in clean) / len(clean) > 0.97
+
+
+def test_very_many_languages(spark, documents, monkeypatch):
+    """References are never gathered: a label of its own for each text, and a few real ones."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(50)]
+    rows = [(i, " ".join(rng.choices(words, k=70)), f"l{i}" if i % 2 else "en")
+            for i in range(6000)]
+    df = documents(rows)
+
+    collect = type(df).collect
+
+    def few(self):
+        rows = collect(self)
+        assert len(rows) < 10
+        return rows
+
+    monkeypatch.setattr(type(df), "collect", few)
+    found = apply_rules(df, "text", "lang")
+    counts = found.groupBy(F.col("lang") == "en").agg(
+        F.count("*").alias("n"), F.count("word_distance").alias("known")).toPandas()
+    assert sorted(counts[["n", "known"]].values.tolist()) == [[3000, 0], [3000, 3000]]
