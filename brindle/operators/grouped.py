@@ -47,20 +47,19 @@ def intersection(left: DataFrame, right: DataFrame) -> DataFrame:
 def surplus(left: DataFrame, right: DataFrame, copies_per_row: int = 10_000) -> DataFrame:
     """The rows of ``left`` beyond as many equal rows of ``right``, nulls being equal.
 
-    Equal rows are counted in the map tasks. What is left of a row is written out in two
-    steps, first as chunks of ``copies_per_row`` copies, which are dealt out anew, so that the
-    copies of a hot row are made by many tasks, and no count is too large for one.
+    Equal rows are counted in the map tasks. What is left of a row is written out in three
+    steps: as blocks of chunks, as chunks, and as copies. Blocks and chunks are dealt out anew, so
+    that the copies of a hot row are made by many tasks, and no list is longer than
+    ``copies_per_row``, or the copies over its square.
     """
     both = left.withColumn("_sign", F.lit(1)).union(right.withColumn("_sign", F.lit(-1)))
-    left_over = both.groupBy(*left.columns).agg(F.sum("_sign").alias("_n")).where("_n > 0")
-    chunks = F.expr(f"sequence(0L, (_n - 1) div {copies_per_row})")
-    # a given number: by the size of the chunks' rows Spark would join the partitions again
+    found = both.groupBy(*left.columns).agg(F.sum("_sign").alias("_n")).where("_n > 0")
+    # a given number: by the size of the pieces' rows Spark would join the partitions again
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        left_over.withColumn("_chunk", F.explode(chunks))
-        .repartition(parts, *left.columns, "_chunk")
-        .withColumn("_size", F.least(
-            F.lit(copies_per_row).cast("bigint"), F.col("_n") - F.col("_chunk") * copies_per_row))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_size"))))
-        .select(*left.columns)
-    )
+    for size in (copies_per_row ** 2, copies_per_row):
+        at, most = F.col("_piece"), F.lit(size).cast("bigint")
+        found = (found.withColumn("_piece", F.explode(F.expr(f"sequence(0L, (_n - 1) div {size})")))
+                 .repartition(parts, *left.columns, "_piece")
+                 .withColumn("_n", F.least(most, F.col("_n") - at * most)))
+    return (found.withColumn("_copy", F.explode(F.expr("sequence(1L, _n)")))
+            .select(*left.columns))

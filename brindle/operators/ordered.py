@@ -63,18 +63,31 @@ _OF_A_ROW = {"first", "previous"}
 Aggregate = tuple[str, str | Column]
 
 
+_MADE_HERE = object()
+
+
 @dataclass(frozen=True)
 class Frame:
-    """A window column that looks at most ``before`` / ``after`` rows away."""
+    """A window column that looks at most ``before`` / ``after`` rows away.
+
+    Made by ``lag``, ``lead`` or ``rows``, which know how far it looks: splits of a hot group
+    bring that many rows of their neighbours, so a smaller number would change the result.
+    """
 
     before: int
     after: int
     over: Callable[[WindowSpec], Column]
+    made: object = None
+
+    def __post_init__(self) -> None:
+        if self.made is not _MADE_HERE:
+            raise TypeError("use Frame.lag, Frame.lead or Frame.rows")
 
     @classmethod
     def lag(cls, value: str | Column, rows: int = 1) -> Frame:
         """The value so many rows before."""
-        return cls(max(rows, 0), max(-rows, 0), lambda w: F.lag(value, rows).over(w))
+        return cls(max(rows, 0), max(-rows, 0), lambda w: F.lag(value, rows).over(w),
+                   _MADE_HERE)
 
     @classmethod
     def lead(cls, value: str | Column, rows: int = 1) -> Frame:
@@ -83,7 +96,8 @@ class Frame:
     @classmethod
     def rows(cls, aggregate: Column, start: int, end: int) -> Frame:
         """The aggregate over the rows from ``start`` to ``end``; 0 is the current one."""
-        return cls(max(-start, 0), max(end, 0), lambda w: aggregate.over(w.rowsBetween(start, end)))
+        return cls(max(-start, 0), max(end, 0),
+                   lambda w: aggregate.over(w.rowsBetween(start, end)), _MADE_HERE)
 
 
 def _boxed(value: Column) -> Column:

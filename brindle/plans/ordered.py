@@ -14,6 +14,7 @@ from brindle.operators import (
     sessions,
     trailing_sums,
 )
+from brindle.operators.ordered import written
 from brindle.plans.registry import Plans
 from brindle.sources import Tables
 
@@ -186,15 +187,13 @@ def conversation_pages(t: Tables) -> DataFrame:
     # An ordered array per page of turns: a conversation of any length is kept
     # whole, and no array grows with it.
     # The turns are numbered without their texts, so that a split's size does not depend
-    # on them, and the texts come back by the unique pair.
-    turns = t.conversations.select("conv_id", "turn")
+    # on them. The texts come back by a number that is written first: turns may be repeated.
+    told = written(t.conversations.withColumn("row", F.monotonically_increasing_id()))
     numbered = (
-        OrderedGroups.of(turns, ["conv_id"], ["turn"])
-        .running(pos=("count", F.lit(1))).rows()
-        .withColumnsRenamed({"conv_id": "n_conv_id", "turn": "n_turn"})
+        OrderedGroups.of(told.select("conv_id", "turn", "row"), ["conv_id"], ["turn", "row"])
+        .running(pos=("count", F.lit(1))).rows().select("row", "pos")
     )
-    placed = t.conversations.join(numbered, F.col("conv_id").eqNullSafe(F.col("n_conv_id"))
-                                  & F.col("turn").eqNullSafe(F.col("n_turn")))
+    placed = told.join(numbered, "row")
     said = F.struct("turn", F.concat_ws(": ", "role", "text").alias("said"))
     return (
         placed.groupBy("conv_id", F.floor((F.col("pos") - 1) / PAGE).alias("page"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from brindle.session import STREAM_DEFAULTS, scratch_path
+from brindle.session import STREAM_DEFAULTS, remove_path, scratch_path
 from brindle.sources import SCHEMAS
 
 
@@ -63,7 +63,8 @@ def run_complete(result: DataFrame, path: str | None = None) -> DataFrame:
     """Write the whole result after each batch, and read the last one back.
 
     A batch's rows go to a folder of their own, which is named as done when it is whole;
-    so a reader, also after a crash, finds a whole result or the one before.
+    so a reader, also after a crash, finds a whole result or the one before. Results before
+    these two are removed.
     """
     spark = result.sparkSession
     path = path or scratch_path(spark, "stream")
@@ -72,6 +73,8 @@ def run_complete(result: DataFrame, path: str | None = None) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows-{number}")
         batch.sparkSession.range(number, number + 1).coalesce(1).write.mode("append").parquet(done)
+        if number > 1:
+            remove_path(spark, f"{path}/rows-{number - 2}")
 
     _finish(result.writeStream.outputMode("complete").foreachBatch(write), path)
     last = spark.read.schema("id long").parquet(done).agg(F.max("id")).first()[0]
@@ -80,6 +83,4 @@ def run_complete(result: DataFrame, path: str | None = None) -> DataFrame:
 
 def forget(spark: SparkSession, path: str) -> None:
     """Remove a run's results and progress."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    remove_path(spark, path)

@@ -321,3 +321,9 @@ def test_brute_force_helper_agrees_with_a_sorted_search(table):
     for i in intervals.collect():
         assert counts[i.id] == bisect.bisect_right(points, i.high) - bisect.bisect_left(
             points, i.low)
+
+
+def test_a_frame_tells_how_far_it_looks():
+    with pytest.raises(TypeError, match="Frame.rows"):
+        Frame(0, 1, lambda w: F.sum("x").over(w.rowsBetween(-5, 0)))
+    assert (Frame.rows(F.lit(1), -5, 0).before, Frame.lead("x", 2).after) == (5, 2)

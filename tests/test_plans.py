@@ -8,6 +8,8 @@ import io
 import pytest
 
 import __spark_entry__ as contract
+from brindle.operators import ROWS_PER_SPLIT_SETTING
+from brindle.sources import SCHEMAS
 
 QUERIES = {n: q for n, q in contract.queries().items() if n not in contract.LLM}
 
@@ -103,3 +105,20 @@ def test_hot_path_has_no_cross_join_and_no_python(spark, skewed, tiny_splits):
         plan = plan_of(QUERIES[name](spark, skewed))
         for operator in ("CartesianProduct", "NestedLoop", "Python", "Pandas"):
             assert operator not in plan, name
+
+
+def test_pages_of_repeated_turns(spark, tmp_path):
+    """Rows that repeat a turn are as many turns, however small the splits."""
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b"),
+            (None, None, "user", "c"), (None, None, "user", "c")]
+    rows += [(2, i // 3, "user", "x") for i in range(60)]
+    spark.createDataFrame(rows, SCHEMAS["conversations"]).write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    for split in ("1000", "10"):
+        spark.conf.set(ROWS_PER_SPLIT_SETTING, split)
+        found = contract.queries()["conversation_pages"](spark, str(tmp_path)).collect()
+        pages = {(r["conv_id"], r["page"]): (r["n_turns"], r["turns"]) for r in found}
+        assert pages[1, 0] == (3, "user: a | user: a | assistant: b")
+        assert pages[None, 0] == (2, "user: c | user: c")
+        assert [pages[2, i][0] for i in range(15)] == [4] * 15 and len(pages) == 17
+    spark.conf.unset(ROWS_PER_SPLIT_SETTING)

@@ -78,7 +78,10 @@ def test_sessions_merge_across_files(spark, tmp_path):
 def test_complete_mode_keeps_the_last_result(spark, tmp_path):
     folder = write_files(tmp_path, [[1], [2, 61], [62, 3]])
     stream = read_stream(spark, folder, "events", "ts", "10 minutes", files_per_trigger=1)
-    found = run_complete(tumbling_counts(stream, "ts", "event_type", "1 hour"))
+    path = str(tmp_path / "kept")
+    found = run_complete(tumbling_counts(stream, "ts", "event_type", "1 hour"), path)
+    # of three batches' results the last two are there
+    assert sorted(n for n in os.listdir(path) if n.startswith("rows")) == ["rows-1", "rows-2"]
     assert Counter({r.window_start: r.n for r in found.collect()}) == {
         minutes(0): 3, minutes(60): 2}
 
