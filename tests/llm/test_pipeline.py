@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import corpus_pipeline
 from brindle.llm.quality_classifier import train
-from brindle.llm.quality_rules import Rules, judged, references
+from brindle.llm.quality_rules import Reference, Rules, judged, references
 from brindle.llm.texts import id_remainder
 from brindle.sources import Tables
 from test_jaccard import brute
@@ -53,9 +54,10 @@ def test_the_classifier_decides(spark, medium, stages):
 
 
 def test_the_rules_decide(stages):
-    known = references(stages[1], "text", "lang")
+    known = {r.lang: Reference.of(*pickle.loads(r.reference))
+             for r in references(stages[1], "text", "lang").collect()}
     wanted = Counter(tuple(r) for r in stages[1].collect()
-                     if judged(known, Rules(), r.text, r.lang)[-1])
+                     if judged(known.get(r.lang), Rules(), r.text)[-1])
     assert rows_of(stages[2]) == wanted
     assert 0 < sum(wanted.values()) < stages[1].count()
 
@@ -72,8 +74,11 @@ def test_packing_takes_all_that_is_left(stages):
     pieces_are_whole(stages[4].collect(), {r.doc_id: r.text for r in stages[3].collect()})
 
 
-def test_run_is_the_registered_query(spark, medium, stages):
+def test_run_is_the_registered_query(spark, medium, stages, monkeypatch, tmp_path):
+    monkeypatch.setattr(corpus_pipeline, "scratch_path", lambda _, label: f"{tmp_path}/{label}")
     found = contract.queries()["pipeline"](spark, medium)
+    # what the stages have read is gone
+    assert [p.name for p in tmp_path.iterdir()] == ["packing"]
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert rows_of(found.select(columns)) == rows_of(stages[4].select(columns))
 
@@ -94,6 +99,12 @@ def test_odd_rows_go_through_each_stage(spark, medium):
     # one text: equal rows, rows without an id or a language
     kept = corpus_pipeline.keep_one_of_each(spark, docs.where(F.col("text") == good), medium)
     assert kept.count() == 1
+    # each of them is packed as often as it comes, under its id
+    packed = corpus_pipeline.pack_documents(spark, docs, medium).collect()
+    assert sum(r.length for r in packed) == sum(
+        r.doc_tokens for r in packed if r.start == 0) and sorted(
+        (r.doc_id for r in packed if r.start == 0), key=repr) == sorted(
+        (r[0] for r in rows), key=repr)
     # texts without words are copies of nothing
     assert corpus_pipeline.keep_one_of_each(
         spark, docs.where("text is null or text = ''"), medium).count() == 2
