@@ -37,12 +37,13 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from brindle.llm.components import components
 from brindle.llm.texts import least_hashed, quoted
+from brindle.operators.ordered import broadcast_if_small, written
 from brindle.session import checkpoint_folder
 
 _U = np.uint64
 _KNOWN_WORDS = 50_000
 #: Columns of an incidence matrix that are multiplied at once.
-COLUMNS = 4096
+COLUMNS = 1024
 #: Min-hashes of a band and bands of a signature, by which families are looked for; classes of a
 #: band that are looked at for pivots, pivots of a band, members that a pivot's text comes to.
 BAND, BANDS, SAMPLE, PIVOTS, SALT = 4, 4, 64, 8, 4096
@@ -65,7 +66,7 @@ class Join:
     tokens: int = 64
     bucket: int = 400
     depth: int = 8
-    slice_bytes: int = 1 << 24
+    slice_bytes: int = 1 << 22
     family: int = 400
     dense: int = 2048
 
@@ -549,10 +550,10 @@ def _families(classes: DataFrame, own: DataFrame, join: Join) -> DataFrame:
     dense = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > join.family)
     dense = dense.checkpoint()
     if dense.isEmpty():
-        return classes.select("class", F.col("class").alias("family")).limit(0)
-    at = (keyed.join(dense, "key").groupBy("class")
+        return written(classes.select("class", F.col("class").alias("family")).limit(0))
+    at = (keyed.join(broadcast_if_small(dense), "key").groupBy("class")
           .agg(F.max(F.struct("n", "key")).alias("at")).select("class", F.col("at.key").alias("key")))
-    dense_classes = at.join(slim, "class").checkpoint()
+    dense_classes = slim.join(broadcast_if_small(written(at)), "class").checkpoint()
     some = least_hashed(dense_classes, "key", "class", SAMPLE)
     pivots = some.groupBy("key").applyInArrow(
         _pivots(join), "key long, class binary, signature binary")
@@ -560,9 +561,10 @@ def _families(classes: DataFrame, own: DataFrame, join: Join) -> DataFrame:
         F.collect_list("class").alias("names"), F.collect_list("signature").alias("theirs"))
     likely = dense_classes.join(around, "key").select("class", "signature", "names", "theirs").mapInArrow(
         _nearest(join), "class binary, pivot binary").checkpoint()
-    texts = _texts(own, classes.join(
-        likely.select("class").unionByName(likely.select(F.col("pivot").alias("class"))).distinct(),
-        "class", "left_semi").select("class", F.col("least").alias("id")), join).checkpoint()
+    named = written(likely.select("class").unionByName(
+        likely.select(F.col("pivot").alias("class"))).distinct())
+    texts = _texts(own, classes.join(broadcast_if_small(named), "class", "left_semi").select(
+        "class", F.col("least").alias("id")), join).checkpoint()
     # a pivot's text goes to as many groups as its family takes
     sizes = likely.groupBy("pivot").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     members = (likely.join(sizes, "pivot").join(texts.select("class", "text"), "class")
@@ -580,7 +582,8 @@ def _texts(own: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
 
     Rows that repeat an id have the same text, or one of another class.
     """
-    ids = wanted.select(F.col("id").alias("id_")).distinct()
+    # few as a rule: then texts that aren't wanted stay where they are
+    ids = broadcast_if_small(written(wanted.select(F.col("id").alias("id_")).distinct()))
     fields = [own.schema["id"], *_parse_datatype_string("text string, class binary").fields]
     known = (own.join(ids, F.col("id").eqNullSafe(F.col("id_")), "left_semi").select("id", "text")
              .mapInArrow(_keyed(join), StructType(fields)).where(F.col("class").isNotNull())
@@ -635,7 +638,10 @@ def jaccard_join(df: DataFrame, doc_id: str, text: str, join: Join = Join()) ->
                .checkpoint())
 
     families = _families(classes, own, join)
-    classes = classes.join(families, "class", "left").checkpoint()
+    few = broadcast_if_small(families)
+    classes = classes.join(few, "class", "left")
+    if few is families:
+        classes = classes.checkpoint()
     groups = _groups(_buckets(classes, join), classes, join)
     # a group's sets come in so many slices that one slice of all fits in a task
     bytes_ = groups.join(classes.select("class", "size"), "class").groupBy("group").agg(

@@ -14,6 +14,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ CLASSES = ("lower", "upper", "letter", "number", "space", "point", "symbol")
 #: of the histogram.
 COMMON = 64
 #: Different words whose counts a task holds at once.
-_HELD = 200_000
+_HELD = 60_000
 
 
 @dataclass(frozen=True)
@@ -147,17 +148,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classes: dict = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        rows = [(lang, kind, None, n) for lang, found in classes.items()
-                for kind, n in enumerate(found.tolist()) if n]
-        rows += [(lang, None, word, n) for lang, found in words.items()
-                 for word, n in found.items()]
-        words.clear()
-        classes.clear()
+        rows = chain(((lang, kind, None, n) for lang, found in classes.items()
+                      for kind, n in enumerate(found.tolist()) if n),
+                     ((lang, None, word, n) for lang, found in words.items()
+                      for word, n in found.items()))
         kinds = pa.string(), pa.int32(), pa.binary(), pa.int64()
-        for begin in range(0, len(rows), 10_000):
-            columns = zip(*rows[begin:begin + 10_000])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+        while some := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)],
                                              names=["lang", "kind", "word", "n"])
+        words.clear()
+        classes.clear()
 
     held = 0
     for batch in batches:
