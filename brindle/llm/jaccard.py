@@ -638,10 +638,7 @@ def jaccard_join(df: DataFrame, doc_id: str, text: str, join: Join = Join()) ->
                .checkpoint())
 
     families = _families(classes, own, join)
-    few = broadcast_if_small(families)
-    classes = classes.join(few, "class", "left")
-    if few is families:
-        classes = classes.checkpoint()
+    classes = classes.join(broadcast_if_small(families), "class", "left").checkpoint()
     groups = _groups(_buckets(classes, join), classes, join)
     # a group's sets come in so many slices that one slice of all fits in a task
     bytes_ = groups.join(classes.select("class", "size"), "class").groupBy("group").agg(
