@@ -306,7 +306,7 @@ def similar(sets: list[np.ndarray], least: float) -> np.ndarray:
 
 def _similar(found: np.ndarray, least: float) -> np.ndarray:
     sizes = np.diag(found)
-    near = found >= least * (sizes[:, None] + sizes - found) - 1e-9
+    near = np.stack([own >= least * (size + sizes - own) - 1e-9 for size, own in zip(sizes, found)])
     np.fill_diagonal(near, False)
     return near
 

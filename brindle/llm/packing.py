@@ -32,7 +32,7 @@ FULL = 0.98
 #: White space for Arrow but not for the tokenizer, and the mark between words.
 _APART = "[\x00\x1c-\x1f]"
 #: Characters whose words are encoded together, and words that a Python worker keeps.
-TOGETHER, KEPT_WORDS = 8_000_000, 200_000
+TOGETHER, KEPT_WORDS = 2_000_000, 150_000
 
 
 @dataclass(frozen=True)
