@@ -112,30 +112,59 @@ def test_queries_are_dealt_in_parts(spark, monkeypatch):
     assert recall({q: found[q] for q in wanted}, wanted) == 1
 
 
-def test_recall_just_above_each_bound(spark):
-    """Queries with more candidates than k whose cosine has just passed a length's bound."""
+def test_strings(spark):
+    """Axes and sides against plain ones; a longest prefix against a plain count."""
+    rng = np.random.default_rng(2)
+    x, forest = rng.standard_normal((50, 9)), Forest(trees=3)
+    found, axes = prefix_forest.codes(x, forest, 3)
+    seen = (x.astype(np.float32) @ prefix_forest._frames(forest.seed, 3, 9)).reshape(50, 3, -1)
+    for i in range(50):
+        for tree in range(3):
+            along, across = seen[i, tree, :64], seen[i, tree, 64:]
+            order = np.argsort(-np.abs(along))[:3]
+            assert axes[i, tree].tolist() == [2 * a + (along[a] > 0) for a in order]
+            string = f"{axes[i, tree, 0]:07b}" + "".join("01"[int(s > 0)] for s in across)
+            assert found[i, tree] == int(string, 2)
+    code = np.sort(np.concatenate([found[:, 0], found[:20, 0], [found[0, 0]] * 6]))
+    begin, end, depth = prefix_forest._ranges(code, found[:, 0], 63, 7, 4)
+    for string, b, e, d in zip(found[:, 0], begin, end, depth):
+        same = [int(c >> (63 - d)) == int(string >> (63 - d)) for c in code]
+        assert np.flatnonzero(same).tolist() == list(range(b, e))
+        assert e - b >= 4 or d == 7
+        if d < 63:
+            assert sum(int(c >> (61 - d)) == int(string >> (61 - d)) for c in code) < 4
+
+
+def test_recall_at_each_ending(spark):
+    """Queries with more candidates than k whose cosine has just passed a bound, or any other."""
     rng = np.random.default_rng(6)
     forest, size = Forest(), 128
-    rows, queries = [], {1: [], 2: [], 3: []}
-    for length in queries:
-        least = prefix_forest._least_cosine(forest.trees, forest.missed)[length]
+    bounds = [prefix_forest.least_cosine(forest, w) for w in forest.widths]
+    rows, queries = [], {c: [] for c in [*bounds, 0.6, 0.8, 0.9, 0.95, 0.99]}
+    for cosine in queries:
         for _ in range(20):
             q = rng.standard_normal(size)
             q /= np.linalg.norm(q)
-            queries[length].append(len(rows))
+            queries[cosine].append(len(rows))
             rows.append(q)
-            for cosine in least + rng.uniform(0.001, 0.004, 60):
+            for c in cosine + rng.uniform(0.001, 0.004, 60):
                 v = rng.standard_normal(size)
                 v -= (v @ q) * q
-                rows.append(cosine * q + np.sqrt(1 - cosine ** 2) * v / np.linalg.norm(v))
+                rows.append(c * q + np.sqrt(1 - c ** 2) * v / np.linalg.norm(v))
     x = np.array(rows)
     asks = F.col("vec_id").isin([q for found in queries.values() for q in found])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
                                "vec_id long, embedding array<double>")
-    found = rows_of(search(df, "vec_id", "embedding", asks, 20, forest))
-    for length, at in queries.items():
+    made = search(df, "vec_id", "embedding", asks, 20, forest).checkpoint()
+    ended = {r.query_id: r.ended for r in made.select("query_id", "ended").distinct().collect()}
+    found = rows_of(made)
+    for cosine, at in queries.items():
         near = x[at] @ x.T
         near[np.arange(len(at)), at] = -2
         wanted = {q: [(int(i), 0) for i in np.argsort(-row)[:20]] for q, row in zip(at, near)}
-        print("length", length, "recall", recall(found, wanted))
-        assert recall(found, wanted) >= 0.9, length
+        print("cosine", cosine, "recall", recall(found, wanted), [ended[q] for q in at])
+        assert recall(found, wanted) >= 0.9, cosine
+    assert set(ended.values()) >= {0, *forest.widths}
+    compared = made.groupBy("ended").agg(F.avg("compared")).collect()
+    print(compared)
+    assert dict(map(tuple, compared))[0] < len(x) / 2
