@@ -188,12 +188,14 @@ class OrderedGroups:
     @classmethod
     def of(cls, df: DataFrame, keys: Sequence[str], order: Sequence[str],
            rows_per_split: int | None = None,
-           at_most: DataFrame | None = None) -> OrderedGroups:
+           at_most: DataFrame | None = None,
+           counts: DataFrame | None = None) -> OrderedGroups:
         """Group ``df``, finding its hot groups by a count.
 
         Where counting ``df`` would repeat a shuffle, give ``at_most``: rows that
         are cheaper to count and at least as many in each group. If no group is
-        hot there, none is in ``df``.
+        hot there, none is in ``df``. Where the rows of each group are counted already, give
+        ``counts``, a table of ``keys`` and ``_rows``.
         """
         keys, order = list(keys), list(order)
         taken = [c for c in df.columns if c in _OWN or c.startswith(("_here_", "_carry_"))]
@@ -206,7 +208,10 @@ class OrderedGroups:
         whole = cls(df, None, keys, order, rows_per_split)
         if at_most is not None and hot_groups(at_most, keys, rows_per_split).isEmpty():
             return whole
-        groups = written(hot_groups(df, keys, rows_per_split))
+        if counts is None:
+            groups = written(hot_groups(df, keys, rows_per_split))
+        else:
+            groups = written(counts.where(F.col("_rows") > rows_per_split))
         hot_rows = groups.agg(F.sum("_rows")).first()[0]
         if hot_rows is None:
             return whole
