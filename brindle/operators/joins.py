@@ -17,8 +17,10 @@ from brindle.operators.ordered import broadcast_if_small, hot_groups, split_size
 # A cell of two hot sides makes up to the square of its rows in pairs, so it is smaller
 # than a split by this factor: 100,000 rows a side for the usual split.
 CELLS_PER_SPLIT = 50
-# An interval may touch so many buckets.
+# An interval touches about so many buckets at most; longer ones take wider buckets.
 MOST_BUCKETS = 1000
+# How many widths there are; what is too long for the widest takes one bucket for all.
+WIDTHS = 6
 
 
 def _cuts(side: DataFrame, keys: Sequence[str], rows: int, name: str) -> DataFrame:
@@ -72,19 +74,26 @@ def band_join(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
     The axis is cut in buckets of ``width``, best about an interval's length: an
     interval goes to each bucket it touches and meets only the points of those,
     by equi-join. Use ``count_in_intervals`` where the pairs are only counted. An interval
-    that touches more than MOST_BUCKETS buckets ends the job with an error: make ``width``
-    larger.
+    that touches more than MOST_BUCKETS takes buckets wider by a power of that number, and a
+    still longer one, as one without an end, a single bucket. Points go to each width that
+    intervals use, which a job finds first: write intervals that are costly to compute.
     """
     def bucket(column: str) -> Column:
-        return F.floor(F.col(column) / width)
-
-    touched = F.when(
-        bucket(high) - bucket(low) < MOST_BUCKETS, F.sequence(bucket(low), bucket(high))
-    ).otherwise(F.raise_error(F.lit("band_join: an interval is too wide for this width")))
-    reached = intervals.where(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(touched))
-    placed = points.withColumn("_bucket", bucket(point))
+        wide = F.lit(float(width)) * F.pow(F.lit(float(MOST_BUCKETS)), F.col("_width"))
+        return F.when(F.col("_width") == WIDTHS, 0).otherwise(F.floor(F.col(column) / wide))
+
+    length = (F.col(high).cast("double") - F.col(low).cast("double")) / width
+    fitting = F.lit(WIDTHS)
+    for level in reversed(range(WIDTHS)):
+        fitting = F.when(length < float(MOST_BUCKETS) ** (level + 1), level).otherwise(fitting)
+    known = intervals.where(F.col(low) <= F.col(high)).withColumn("_width", fitting)
+    used = sorted(r[0] for r in known.select("_width").distinct().collect()) or [0]
+    reached = known.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    widths = F.lit(used[0]) if len(used) == 1 else F.explode(F.array(*map(F.lit, used)))
+    placed = points.withColumn("_width", widths).withColumn("_bucket", bucket(point))
     return (
-        grid_join(reached, placed, [*keys, "_bucket"], interval_id, point_id, rows_per_cell)
+        grid_join(reached, placed, [*keys, "_width", "_bucket"], interval_id, point_id,
+                  rows_per_cell)
         .where(F.col(point).between(F.col(low), F.col(high)))
-        .drop("_bucket")
+        .drop("_width", "_bucket")
     )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import discounted, exact_sum, hundredths, money
-from brindle.operators import asof_join, count_in_intervals, with_totals
+from brindle.operators import asof_join, band_join, count_in_intervals, sessions, with_totals
+from brindle.operators.ordered import written
 from brindle.plans.registry import Plans
 from brindle.sources import Tables
 
@@ -152,6 +153,37 @@ def views_before_purchase(t: Tables) -> DataFrame:
                               "n_views")
 
 
+@plans("""
+WITH marked AS (
+  SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+                          + INTERVAL 6 HOUR, true) AS starts
+  FROM events),
+numbered AS (
+  SELECT *, count(*) FILTER (starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
+  FROM marked),
+spans AS (
+  SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_rows
+  FROM numbered GROUP BY user_id, session)
+SELECT e.event_id, e.user_id, session_start, session_end, n_rows
+FROM events e JOIN spans s ON s.user_id = e.user_id AND e.ts BETWEEN session_start AND session_end
+WHERE event_type = 'purchase'
+""")
+def purchase_sessions(t: Tables) -> DataFrame:
+    # A user's sessions are apart, so there is one pair for each purchase. Sessions of more than
+    # 1,000 times six hours go to wider buckets.
+    def micros(column: str) -> Column:
+        return F.unix_micros(F.col(column).cast("timestamp"))
+
+    spans = written(
+        sessions(t.events, ["user_id"], "ts", "event_id", F.expr("interval 6 hours"), {})
+        .withColumns({"low": micros("session_start"), "high": micros("session_end")}))
+    purchases = t.events.where(F.col("event_type") == "purchase").select(
+        "event_id", "user_id", micros("ts").alias("at"))
+    return band_join(spans, purchases, ["user_id"], "low", "low", "high", "event_id", "at",
+                     width=6 * 3600 * 1e6).select(
+        "event_id", "user_id", "session_start", "session_end", "n_rows")
+
+
 @plans("""
 SELECT p.event_id, p.user_id, p.ts, s.event_id AS signup_id, s.ts AS signup_ts
 FROM (SELECT * FROM events WHERE event_type = 'purchase') p

@@ -302,12 +302,20 @@ def test_surplus_with_nulls_and_repeats(table):
     assert "ReplicateRows" not in found._jdf.queryExecution().toString().lower()
 
 
-def test_too_wide_an_interval_is_refused(spark):
-    wide = spark.createDataFrame([(1, 0.0, 1e9)], "i long, low double, high double").withColumn(
-        "g", F.lit(1))
-    points = spark.createDataFrame([(1, 1, 5.0)], "g int, p long, x double")
-    with pytest.raises(Exception, match="too wide"):
-        band_join(wide, points, ["g"], "i", "low", "high", "p", "x", 1.0).count()
+@BOTH
+def test_band_join_of_intervals_of_all_lengths(spark, rows_per_split):
+    inf = float("inf")
+    ends = [(-5.0, 1e4), (3.0, 2e7), (-1e12, 4.0), (5.0, 5.0), (0.0, 1e20), (-inf, 0.0), (7.0, inf),
+            (-inf, inf), (2.0, 1.0), (None, 3.0), (inf, inf), (999.0, 1999.0), (1e15, 1e15 + 2500)]
+    values = [-1e13, -5.0, 0.0, 4.0, 5.0, 7.5, 1e4, 1e4 + 1, 2e7, 1e15 + 1, 1e19, inf, None]
+    wide = spark.createDataFrame([(1, i, *e) for i, e in enumerate(ends)],
+                                 "g int, i long, low double, high double")
+    points = spark.createDataFrame([(1, p, x) for p, x in enumerate(values)],
+                                   "g int, p long, x double")
+    found = band_join(wide, points, ["g"], "i", "low", "high", "p", "x", 1.0, rows_per_split)
+    assert listed(found.select("i", "p")) == sorted(
+        ((i, p) for i, (low, high) in enumerate(ends) for p, x in enumerate(values)
+         if None not in (low, x) and low <= x <= high), key=repr)
 
 
 def test_brute_force_helper_agrees_with_a_sorted_search(table):
