@@ -172,7 +172,9 @@ def purchase_sessions(t: Tables) -> DataFrame:
     # A user's sessions are apart, so there is one pair for each purchase. Sessions of more than
     # 1,000 times six hours go to wider buckets.
     def micros(column: str) -> Column:
-        return F.unix_micros(F.col(column).cast("timestamp"))
+        # by an interval: a cast to an instant depends on the session's time zone
+        since = F.col(column) - F.expr("timestamp_ntz'1970-01-01'")
+        return (since.cast("decimal(20,6)") * 1_000_000).cast("bigint")
 
     spans = written(
         sessions(t.events, ["user_id"], "ts", "event_id", F.expr("interval 6 hours"), {})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import datetime as dt
 import io
 
 import pytest
@@ -122,3 +123,20 @@ def test_pages_of_repeated_turns(spark, tmp_path):
         assert pages[None, 0] == (2, "user: c | user: c")
         assert [pages[2, i][0] for i in range(15)] == [4] * 15 and len(pages) == 17
     spark.conf.unset(ROWS_PER_SPLIT_SETTING)
+
+
+def test_sessions_of_purchases_across_a_change_of_clocks(spark, tmp_path):
+    """Local times that a zone skips are times like others."""
+    rows = [(i, dt.datetime(2024, 3, 10, 2, 30) + dt.timedelta(minutes=40 * i), 1,
+             "purchase" if i % 2 else "view", 1.0, "{}") for i in range(4)]
+    rows += [(9, dt.datetime(2024, 3, 12), 1, "purchase", 1.0, "{}")]
+    rows += [(10, None, 1, "purchase", 1.0, "{}"), (11, rows[0][1], None, "purchase", 1.0, "{}")]
+    spark.createDataFrame(rows, SCHEMAS["events"]).write.parquet(f"{tmp_path}/events.parquet")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = contract.queries()["purchase_sessions"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted((r.event_id, r.session_start, r.n_rows) for r in found) == [
+        (1, rows[0][1], 4), (3, rows[0][1], 4), (9, rows[4][1], 1)]
