@@ -242,12 +242,12 @@ def matcher() -> Matcher:
     return Matcher(TEMPLATES)
 
 
-def scan(text: str | None) -> tuple:
+def scan(text: str | None, phrases: dict[str, str] = PHRASES) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
     words = words_of(text)
     line = b" " + b" ".join(words) + b" "
     places, base = [], set()
-    for phrase, label in PHRASES.items():
+    for phrase, label in phrases.items():
         wanted = b" " + phrase.encode() + b" "
         before, place, at = 0, 0, line.find(wanted)
         while at >= 0:
@@ -256,28 +256,31 @@ def scan(text: str | None) -> tuple:
             base.add(label)
             before, at = at, line.find(wanted, at + 1)
     labels, score = matcher().match(words)
+    # the module's phrases are labels of the method, whichever phrases are counted
+    named = base | {label for phrase, label in PHRASES.items()
+                    if b" " + phrase.encode() + b" " in line}
     return (len(words), len(places), min(places, default=None), max(places, default=None),
-            ",".join(sorted(base)), ",".join(sorted(labels | base)), 1.0 if base else score)
+            ",".join(sorted(base)), ",".join(sorted(labels | named)), 1.0 if named else score)
 
 
 FIELDS = ("n_words long, n_base long, first_word long, last_word long, base_labels string, "
           "labels string, score double")
 
 
-def _rows(texts: Iterable[str | None]) -> Iterator[tuple]:
-    return map(scan, texts)
+def _rows(phrases: dict[str, str], texts: Iterable[str | None]) -> Iterator[tuple]:
+    return (scan(text, phrases) for text in texts)
 
 
-def scan_licenses(df: DataFrame, text: str) -> DataFrame:
+def scan_licenses(df: DataFrame, text: str, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """``df`` with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    ``n_base`` counts all places of the phrases, first_word and last_word are the
-    least and greatest (words from 0; null without any). ``labels`` adds what a
-    template accepts; ``score`` is 1 where a phrase or a template is met, else
+    ``n_base`` counts all places of ``phrases``, first_word and last_word are the
+    least and greatest (words from 0; null without any). ``labels`` adds what ``PHRASES`` and
+    the templates stand for; ``score`` is 1 where a phrase or a template is met, else
     the greatest share of a template's mandatory words that stand in a row from a
     place where it may begin. Texts are read whole, row by row: nothing is
     shuffled and memory holds an Arrow batch; time is in proportion to a text's length. A null
     or empty text has no words, no labels and score 0. Repeated rows get the same each; an empty
     table gives no rows. Columns named like a result are replaced by it.
     """
-    return with_fields(df, text, FIELDS, _rows)
+    return with_fields(df, text, FIELDS, functools.partial(_rows, phrases))

@@ -26,6 +26,13 @@ from brindle.llm import (
 from brindle.llm.texts import id_remainder
 from brindle.sources import Tables
 
+#: Phrases that op10 counts, and the labels they stand for.
+NAMED_LICENSES = {
+    "under the mit license": "mit",
+    "apache license version 2": "apache-2",
+    "cc by nc": "cc-by-nc",
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The same in DuckDB's SQL, for those that SQL can express.
 SQL: dict[str, str] = {}
@@ -253,7 +260,8 @@ def op9_prefix_sum_shards(t: Tables) -> DataFrame:
 
 @query
 def op10_license_templates(t: Tables) -> DataFrame:
-    return licenses.scan_licenses(t.documents.select("doc_id", "text"), "text").drop("text")
+    return licenses.scan_licenses(
+        t.documents.select("doc_id", "text"), "text", NAMED_LICENSES).drop("text")
 
 
 @query

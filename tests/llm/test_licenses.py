@@ -17,7 +17,7 @@ from brindle.llm.licenses import (
     scan_licenses,
     words_of,
 )
-from brindle.llm.queries import QUERIES
+from brindle.llm.queries import NAMED_LICENSES, QUERIES
 from brindle.sources import Tables
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -27,10 +27,10 @@ def lowered(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
-def base(text):
+def base(text, phrases=PHRASES):
     words = WORD.findall(lowered(text))
     places, labels = [], set()
-    for phrase, label in PHRASES.items():
+    for phrase, label in phrases.items():
         wanted = phrase.split()
         for i in range(len(words) - len(wanted) + 1):
             if words[i:i + len(wanted)] == wanted:
@@ -187,7 +187,7 @@ def test_the_query_on_a_whole_table(spark, medium):
     rows = QUERIES["op10_license_templates"](spark, medium).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        assert tuple(r)[1:6] == base(texts[r.doc_id])
+        assert tuple(r)[1:6] == base(texts[r.doc_id], NAMED_LICENSES)
         assert r.labels == labels(texts[r.doc_id])
 
 
@@ -195,3 +195,25 @@ def test_the_score_of_a_text_without_a_templates_longest_word():
     text = "licensed under a Creative Commons Attribution 4.0 License"
     assert scan(text)[-2:] == ("", 5 / 7)
     check(text)
+
+
+def test_the_query_counts_the_phrases_that_its_contract_names(spark, documents, tmp_path):
+    texts = {
+        1: "Released under the MIT License.", 2: "This is the MIT license, and the MIT license",
+        3: "x under the mit license under the MIT-License; Apache License, Version 2.0 CC BY-NC",
+        4: "under\nThe\tMIT\x7fLicense", 5: "under the MIT licensed", 6: None, 7: "",
+        8: "under the under the mit license", 9: "Ünder the mit license \x85 under\u2028the mit license",
+    }
+    documents([*texts.items(), (None, "under the mit license")]).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: tuple(r)[1:] for r in
+            QUERIES["op10_license_templates"](spark, str(tmp_path)).collect()}
+    assert rows.keys() == {*texts, None}
+    assert rows[1] == (5, 1, 1, 1, "mit", "mit", 1.0)
+    assert rows[2] == (9, 0, None, None, "", "mit", 1.0)  # a label of the method's own
+    assert rows[3][1:5] == (4, 1, 14, "apache-2,cc-by-nc,mit")
+    assert rows[4][1:5] == rows[None][1:5] == (1, 0, 0, "mit") and rows[8][1:4] == (1, 2, 2)
+    wanted = {"under the mit license": "mit", "apache license version 2": "apache-2",
+              "cc by nc": "cc-by-nc"}
+    for doc_id, text in texts.items():
+        assert rows[doc_id][:5] == base(text, wanted), text
