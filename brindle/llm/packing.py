@@ -16,6 +16,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ BLOCK = 50_000
 FULL = 0.98
 #: White space for Arrow but not for the tokenizer, and the mark between words.
 _APART = "[\x00\x1c-\x1f]"
-#: Characters whose words are encoded together, and words that a Python worker keeps.
-TOGETHER, KEPT_WORDS = 2_000_000, 150_000
+#: A point or comma that closes a word of letters, after A-Z are lowered.
+_TAIL = r"([a-z])([.,])([ \t\n\r]|$)"
+#: Characters whose words are encoded together; words that a Python worker keeps, up to so many bytes each.
+TOGETHER, KEPT_WORDS, LONGEST_KEPT = 4_000_000, 300_000, 40
 
 
 @dataclass(frozen=True)
@@ -150,8 +153,9 @@ class Words:
 
     The tokenizer lowers case, drops white space and treats what stands between it
     alone, so a text's ids are its words' ids joined. The different words of some
-    texts are found by Arrow, and each is encoded once: without case and a closing
-    point or comma it is often one that is known from before.
+    texts are found by Arrow, which also looks up those that are known from before, with their
+    ids, in columns: only new words are Python's. A-Z are lowered and points and commas that
+    close a word of letters set apart before, so that fewer words are different.
     """
 
     _MARK = "\0"
@@ -164,64 +168,83 @@ class Words:
         # encoded as they are, like those whose blanks mean something else to Arrow
         special = (re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self._apart = "|".join([_APART, *(f"(?i:{s})" for s in special)])
-        self._known: dict[str, bytes] = {}
+        # words that are known, all their ids in a row and where each word's end
+        self._known = pa.array([], pa.large_string())
+        self._ids, self._ends = np.array([], dtype="<u4"), np.array([0])
         [self._mark_id] = self._numbers(self._MARK)
-        self._tails = {c: self._numbers(c).tobytes() for c in ".,"}
         # letters that are one pre-token and their own normal form; as the model writes them
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._letters = {ord(c): spelled.pre_tokenize_str(c)[0][0]
                          for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower()}
+        self._plain = re.compile(f"[{''.join(map(chr, self._letters))}]+").fullmatch
 
     def _numbers(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _core(self, word: str) -> tuple[str, bytes]:
-        # one character by one is lowered alike here and in the tokenizer but for these two
-        if "\u03a3" not in word and "\u0130" not in word:
-            word = word.lower()
-        if word[-1:] in self._tails and word[-2:-1].isascii() and word[-2:-1].isalpha():
-            return word[:-1], self._tails[word[-1]]
-        return word, b""
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        split = list(map(self._core, words))
-        known, letters, tokenize = self._known, self._letters, self.tokenizer.model.tokenize
-        fresh: dict[str, bytes] = {}
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words, one word after the other, and how many each has."""
+        letters, tokenize, plain = self._letters, self.tokenizer.model.tokenize, self._plain
+        made: list[list[int]] = []
         others = []
-        for core in {core for core, _ in split if core not in known}:
-            if core.isalpha() and all(ord(c) in letters for c in core):
-                fresh[core] = np.array(
-                    [t.id for t in tokenize(core.translate(letters))], dtype="<u4").tobytes()
+        for at, word in enumerate(words):
+            # what lowering leaves plain is lowered alike here and in the tokenizer
+            if word.isascii() and word.isalpha():
+                made.append([t.id for t in tokenize(word)])
+            elif plain(low := word.lower()):
+                made.append([t.id for t in tokenize(low.translate(letters))])
             else:
-                others.append(core)
+                made.append([])
+                others.append(at)
         for begin in range(0, len(others), 1000):
             some = others[begin:begin + 1000]
-            numbers = self._numbers(f" {self._MARK} ".join(some))
-            raw, at = numbers.tobytes(), 0
-            bounds = [*np.flatnonzero(numbers == self._mark_id).tolist(), len(numbers)]
-            for core, end in zip(some, bounds, strict=True):
-                fresh[core] = raw[4 * at:4 * end]
-                at = end + 1
-        found = [(known[core] if core in known else fresh[core]) + tail for core, tail in split]
-        if len(known) < KEPT_WORDS:
-            known.update(fresh)
-        return found
+            numbers = self._numbers(f" {self._MARK} ".join([words[at] for at in some]))
+            ids, start = numbers.tolist(), 0
+            bounds = [*np.flatnonzero(numbers == self._mark_id).tolist(), len(ids)]
+            for at, end in zip(some, bounds, strict=True):
+                made[at] = ids[start:end]
+                start = end + 1
+        return (np.fromiter(chain.from_iterable(made), "<u4"),
+                np.fromiter(map(len, made), np.int64, len(made)))
+
+    def _learned(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``_of_words``; short words are kept, until there are ``KEPT_WORDS``."""
+        ids, sizes = self._of_words(words.to_pylist())
+        short = np.asarray(pc.binary_length(words)) <= LONGEST_KEPT
+        kept = short & (np.cumsum(short) <= KEPT_WORDS - len(self._known))
+        if kept.any():
+            self._known = pa.concat_arrays([self._known, words.filter(pa.array(kept))])
+            self._ids = np.concatenate([self._ids, ids[np.repeat(kept, sizes)]])
+            self._ends = np.concatenate(
+                [self._ends, self._ends[-1] + np.cumsum(sizes[kept])])
+        return ids, sizes
+
+    def _encoded(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Lists of ids, and for each of some different words the place of its list."""
+        words = words.cast(pa.large_string())
+        place = pc.index_in(words, value_set=self._known)
+        ids, ends = self._ids, self._ends
+        new = np.asarray(place.is_null())
+        at = np.asarray(place.fill_null(0)).astype(np.int64)
+        if new.any():
+            at[new] = np.arange(len(ends) - 1, len(ends) - 1 + new.sum())
+            more, sizes = self._learned(words.filter(pa.array(new)))
+            ids = np.concatenate([ids, more])
+            ends = np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
+        return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(ids)), at
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, one text after the other, and where each text's begin and end."""
         texts = pc.fill_null(texts, "")
+        special = pc.match_substring_regex(texts, self._apart)
         apart = {i: self._numbers(texts[i].as_py())
-                 for i in np.flatnonzero(pc.match_substring_regex(texts, self._apart)).tolist()}
+                 for i in np.flatnonzero(special).tolist()}
         if apart:
-            texts = pc.replace_with_mask(
-                texts, pc.match_substring_regex(texts, self._apart), pa.scalar("", texts.type))
+            texts = pc.replace_with_mask(texts, special, pa.scalar("", texts.type))
+        texts = pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, r"\1 \2\3")
         split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        made = self._of_words(coded.dictionary.to_pylist())
-        ends = np.cumsum([0, *map(len, made)]) // 4
-        numbers = pa.LargeListArray.from_arrays(
-            pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(made), "<u4")))
-        taken = numbers.take(coded.indices)
+        numbers, at = self._encoded(coded.dictionary)
+        taken = numbers.take(pa.array(at[coded.indices.to_numpy()]))
         found = taken.flatten().to_numpy()
         bounds = taken.offsets.to_numpy()[split.offsets.to_numpy() - split.offsets[0].as_py()]
         if apart:

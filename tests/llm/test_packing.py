@@ -52,6 +52,31 @@ def test_words_are_encoded_as_by_the_tokenizer():
         assert found[begin:end].tolist() == ids_of(text)[:-1], text
 
 
+def test_known_words_are_looked_up_in_columns(monkeypatch):
+    """In any case, and closed by a point or comma: nothing is encoded again."""
+    words = Words(PATH)
+    words.ids(pa.array(["some words, of a text. ünd", None, "x-1."]))
+    monkeypatch.setattr(words, "_of_words", lambda fresh: pytest.fail(f"again: {fresh}"))
+    texts = ["Text of Words. A, TEXT,", "", "some\tX-1. of.\n ünd", None]
+    found, bounds = words.ids(pa.array(texts))
+    for text, begin, end in zip(texts, bounds[:-1], bounds[1:]):
+        assert found[begin:end].tolist() == ids_of(text)[:-1]
+
+
+def test_words_that_are_not_kept_are_encoded_all_the_same(monkeypatch):
+    rng = random.Random(7)
+    alphabet = [*"abzAZ. ,'1é\n\t\x0b\u2003İK", ". ", ", ", ".,", "a. ", "b.c, ", "x" * 50 + " "]
+    for most in (0, 20, 10 ** 6):
+        monkeypatch.setattr("brindle.llm.packing.KEPT_WORDS", most)
+        words = Words(PATH)
+        for kind in (pa.string(), pa.large_string()) * 5:
+            texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(200)]
+            found, bounds = words.ids(pa.array(texts, kind).slice(3))
+            for text, begin, end in zip(texts[3:], bounds[:-1], bounds[1:]):
+                assert found[begin:end].tolist() == ids_of(text)[:-1], text
+        assert len(words._known) <= most
+
+
 def test_vectors_take_the_largest_dot_product():
     """Against the same choice made by looking at each example."""
     rng = random.Random(2)
