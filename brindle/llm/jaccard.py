@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from brindle.llm.components import components
-from brindle.llm.texts import least_hashed, quoted
+from brindle.llm.texts import lean, least_hashed, quoted
 from brindle.operators.ordered import broadcast_if_small, written
 from brindle.session import checkpoint_folder
 
@@ -415,7 +415,7 @@ def _split(slim: DataFrame, n: int, runs: range, join: Join) -> tuple[DataFrame,
     for depth in range(1, join.depth + 1):
         # a class follows each path once; hot paths are summed up in the map tasks
         records = nodes.mapInArrow(
-            _children(join), "class binary, family binary, path long, held long").checkpoint()
+            lean(_children(join)), "class binary, family binary, path long, held long").checkpoint()
         held = (records.groupBy("path", "family").agg(F.count("*").alias("n")).groupBy("path")
                 .agg(F.sum("n").alias("n"),
                      F.max(F.when(F.col("family").isNotNull(), F.struct("n", "family")))
@@ -546,7 +546,7 @@ def _families(classes: DataFrame, own: DataFrame, join: Join) -> DataFrame:
     min-hashes; who belongs to one is decided on whole texts.
     """
     slim = classes.select("class", "signature")
-    keyed = slim.mapInArrow(_bands(join), "class binary, key long")
+    keyed = slim.mapInArrow(lean(_bands(join)), "class binary, key long")
     dense = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > join.family)
     dense = dense.checkpoint()
     if dense.isEmpty():
@@ -560,7 +560,7 @@ def _families(classes: DataFrame, own: DataFrame, join: Join) -> DataFrame:
     around = pivots.groupBy("key").agg(
         F.collect_list("class").alias("names"), F.collect_list("signature").alias("theirs"))
     likely = dense_classes.join(around, "key").select("class", "signature", "names", "theirs").mapInArrow(
-        _nearest(join), "class binary, pivot binary").checkpoint()
+        lean(_nearest(join)), "class binary, pivot binary").checkpoint()
     named = written(likely.select("class").unionByName(
         likely.select(F.col("pivot").alias("class"))).distinct())
     texts = _texts(own, classes.join(broadcast_if_small(named), "class", "left_semi").select(
@@ -574,7 +574,7 @@ def _families(classes: DataFrame, own: DataFrame, join: Join) -> DataFrame:
                .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                         F.col("salts") - 1))).drop("salts"))
     return members.join(central, ["pivot", "salt"]).select("class", "text", "pivot", "around").mapInArrow(
-        _kin(join), "class binary, family binary").checkpoint()
+        lean(_kin(join)), "class binary, family binary").checkpoint()
 
 
 def _texts(own: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
@@ -586,7 +586,7 @@ def _texts(own: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     ids = broadcast_if_small(written(wanted.select(F.col("id").alias("id_")).distinct()))
     fields = [own.schema["id"], *_parse_datatype_string("text string, class binary").fields]
     known = (own.join(ids, F.col("id").eqNullSafe(F.col("id_")), "left_semi").select("id", "text")
-             .mapInArrow(_keyed(join), StructType(fields)).where(F.col("class").isNotNull())
+             .mapInArrow(lean(_keyed(join)), StructType(fields)).where(F.col("class").isNotNull())
              .groupBy("id", "class").agg(F.min("text").alias("text")))
     named = wanted.select(F.col("id").alias("id_"), F.col("class").alias("class_"))
     return known.join(named, (F.col("class") == F.col("class_"))
@@ -598,7 +598,7 @@ def _groups(buckets: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     met = (buckets.join(classes.select("class", "signature", "family"), "class")
            .select("path", "class", "signature", "family")
            .repartition("path").sortWithinPartitions("path"))
-    alike = met.mapInArrow(_look_alike(join), "group long, class binary").distinct().checkpoint()
+    alike = met.mapInArrow(lean(_look_alike(join)), "group long, class binary").distinct().checkpoint()
     same = alike.groupBy("group").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("h"),
         F.sum(F.shiftright(F.xxhash64(F.lit(1), "class"), 24)).alias("s"))
@@ -630,7 +630,7 @@ def jaccard_join(df: DataFrame, doc_id: str, text: str, join: Join = Join()) ->
     checkpoint_folder(df.sparkSession)
     own = df.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text"))
     id_field = own.schema["id"]
-    sets = own.mapInArrow(_sets(join), StructType(
+    sets = own.mapInArrow(lean(_sets(join)), StructType(
         [id_field, *_parse_datatype_string("class binary, signature binary, size long").fields])).checkpoint()
     classes = (sets.where(F.col("class").isNotNull()).groupBy("class")
                .agg(F.min("id").alias("least"), F.count("*").alias("copies"),
@@ -649,10 +649,10 @@ def jaccard_join(df: DataFrame, doc_id: str, text: str, join: Join = Join()) ->
     wanted = member.join(classes.select("class", "family", "least", "copies"), "class").checkpoint()
     texts = _texts(own, wanted.select("class", F.col("least").alias("id")), join)
     slices = texts.join(wanted, "class").select("class", "family", "copies", "groups", "text").mapInArrow(
-        _sliced(join), "group long, slice int, class binary, family binary, copies long, "
+        lean(_sliced(join)), "group long, slice int, class binary, family binary, copies long, "
                        "groups array<long>, part binary")
     links = (slices.repartition("group").sortWithinPartitions("group", "slice")
-             .mapInArrow(_linked(join), "class binary, links long, root binary").checkpoint())
+             .mapInArrow(lean(_linked(join)), "class binary, links long, root binary").checkpoint())
 
     near = links.groupBy("class").agg(F.sum("links").alias("links"))
     kin = classes.where(F.col("family").isNotNull())

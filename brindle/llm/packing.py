@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
-from brindle.llm.texts import quoted, with_fields
+from brindle.llm.texts import give_back, lean, quoted, with_fields
 
 #: Examples that a task packs together, and the share below which a sequence waits for more.
 BLOCK = 50_000
@@ -99,7 +99,7 @@ def pack(df: DataFrame, tokens: str, loss: str, limits: Limits, block: int = BLO
     """
     kept = df.drop("sequence_id", "offset")
     run = _packer(kept.columns.index(tokens), kept.columns.index(loss), limits, block)
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *PLACES]))
+    return kept.mapInArrow(lean(run), StructType([*kept.schema.fields, *PLACES]))
 
 
 PLACES = [StructField(n, LongType()) for n in ("sequence_id", "offset")]
@@ -292,7 +292,7 @@ def token_pieces(df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id:
     """
     source = df.select(quoted(doc_id), quoted(text))
     schema = PIECES + (", ids binary" if with_ids else "")
-    return source.mapInArrow(_cutter(tokenizer, end_id, longest, with_ids), StructType(
+    return source.mapInArrow(lean(_cutter(tokenizer, end_id, longest, with_ids)), StructType(
         [source.schema[0], *_parse_datatype_string(schema).fields]))
 
 
@@ -307,7 +307,7 @@ def pack_texts(df: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: in
     source = df.select(quoted(doc_id), quoted(text))
     cut = _cutter(tokenizer, end_id, limits.tokens, False)
     place = _packer(2, 3, limits, block)  # length and loss
-    return source.mapInArrow(lambda batches: place(cut(batches)), StructType(
+    return source.mapInArrow(lean(lambda batches: place(cut(batches))), StructType(
         [source.schema[0], *_parse_datatype_string(PIECES).fields, *PLACES]))
 
 
@@ -353,3 +353,4 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = max(begin + 1, int(np.searchsorted(sizes, before + TOGETHER, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+            give_back()

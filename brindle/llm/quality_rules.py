@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.texts import free_name, quoted, with_fields
+from brindle.llm.texts import free_name, lean, quoted, with_fields
 from brindle.operators.ordered import broadcast_if_small, written
 from brindle.session import checkpoint_folder
 
@@ -181,7 +181,7 @@ def references(df: DataFrame, text: str, lang: str, rules: Rules = Rules()) -> D
     none; of equally frequent words the first by its bytes is taken. Nothing comes to the driver.
     """
     counts = (df.select(quoted(text), quoted(lang))
-              .mapInArrow(_counted, "lang string, kind int, word binary, n long")
+              .mapInArrow(lean(_counted), "lang string, kind int, word binary, n long")
               .groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")).checkpoint())
     words = counts.where(F.col("kind").isNull())
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,29 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from brindle.operators.ordered import broadcast_if_small, written
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, for ``mapInArrow``, with the memory that Arrow keeps unused given back by each task.
+
+    Python workers go on to other tasks and stages, and would hold what their largest task took.
+    """
+    def whole(batches: Batches) -> Batches:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Give memory that Arrow keeps unused back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def with_fields(df: DataFrame, inputs: str | Sequence[str], schema: str,
                 rows: Callable[[Iterable], Iterable[tuple]]) -> DataFrame:
     """``df`` with the fields of ``schema`` that ``rows`` makes of each row's inputs.
@@ -28,6 +51,7 @@ def with_fields(df: DataFrame, inputs: str | Sequence[str], schema: str,
     @F.arrow_udf(wanted)
     def made(*columns: pa.Array) -> pa.Array:
         values = zip(*((v.as_py() for v in c) for c in columns))
+        give_back()
         found = list(zip(*rows((v for v, in values) if single else values)))
         return pa.StructArray.from_arrays(
             [pa.array(c, kind) for c, (_, kind) in zip(found or [()] * len(fields), fields)],

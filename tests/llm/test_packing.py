@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +18,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from brindle.llm import packing
 from brindle.llm.chat import format_turns
 from brindle.llm.packing import Limits, Words, pack, pack_vectors, token_pieces, turn_vectors
 from brindle.llm.queries import QUERIES
@@ -196,3 +201,45 @@ def test_every_limit_binds_on_conversations(spark, medium):
                 for ms in sequences.values()]
         # this limit makes the sequences: all but the last are nearly full of it
         assert len(sequences) >= 5 and sum(s >= 0.9 * bound for s in sums) >= len(sums) - 1
+
+
+def test_a_worker_gives_back_what_its_texts_took():
+    """In a process of its own: what it holds after some batches, beyond the tokenizer."""
+    code = """
+import random, re, sys
+import pyarrow as pa
+from pyspark.sql.types import LongType, StructField, StructType
+from brindle.llm import packing
+
+packing._parse_datatype_string = lambda ddl: StructType([])  # that needs a session
+
+class Given:  # hands out what Spark would run
+    schema = [StructField("a", LongType())]
+    def select(self, *columns):
+        return self
+    def mapInArrow(self, run, schema):
+        return run
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+
+def batches():
+    rng = random.Random(1)
+    for _ in range(3):
+        texts = [" ".join(map(some.__getitem__, rng.choices(range(30000), k=500))) for _ in range(10000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(10000)), pa.array(texts)], names=["a", "b"])
+
+rng = random.Random(2)
+some = ["".join(rng.choices("etaoinshr", k=6)) for _ in range(30000)]
+tokens = packing.token_pieces(Given(), "a", "b", sys.argv[1], 1, 2048)
+packing.words(sys.argv[1])
+before, most = held(), 0
+for batch in tokens(batches()):
+    most = max(most, held())
+del batch
+print(held() - before, most - before)
+"""
+    found = subprocess.run([sys.executable, "-c", code, PATH], capture_output=True, text=True,
+                           env=os.environ | {"PYTHONPATH": str(Path(packing.__file__).parents[2])})
+    held, _ = map(int, found.stdout.split())
+    assert held < 100, found  # 154 when Arrow kept it, 40 now
